@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procweave.llm import line_dedup, packing, quality
+from procweave.llm import line_dedup, minhash, packing, quality
 from procweave.session import table
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -30,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.SQL, "op6_line_dedup": line_dedup.SQL}
+    return {"op2_minhash_near_dedup": minhash.SQL, "op5_quality_rules": quality.SQL, "op6_line_dedup": line_dedup.SQL}
