@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procweave.llm import line_dedup, minhash, packing, quality
+from procweave.llm import line_dedup, minhash, packing, pii, quality
 from procweave.session import table
 
 
@@ -16,6 +16,16 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The key of the registered query; a deployment gives its own.
+PII_KEY = "corpus-release-1"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    kinds = {f"n_{k.name}": F.size(F.filter(F.coalesce("__pw_found", F.array().cast("array<struct<value:string,kind:string,pseudonym:string>>")), lambda f, k=k: f["kind"] == k.name)).cast("long") for k in pii.KINDS}
+    return out.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), *[c.alias(n) for n, c in kinds.items()])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
