@@ -12,8 +12,12 @@ repeated rows pieces of their own. Every id is in exactly one piece, whatever a
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,39 +25,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procweave.llm.text import slices
 from procweave.session import Staging
 
-#: Words whose ids a worker remembers, and the longest it remembers.
-CACHED_WORDS, CACHED_BYTES = 400_000, 48
+#: Words whose ids a worker remembers.
+CACHED_WORDS = 1_200_000
+
+#: Words of letters that need no normalizing and are one match of the pattern, with a mark after it
+#: that is another: a-z and the lower-case letters of U+00E0 to U+00FF, as UTF-8.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([.,]?)")
+
+#: The character that stands for a byte in byte-level vocabularies: printable Latin-1 characters
+#: for themselves, the other bytes, in order, from U+0100.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 #: Last pieces that are packed together.
 GROUP_PIECES = 8000
 
 
 class WordIds(dict):
-    """Ids of words by their bytes, encoded when first asked for.
+    """Ids of words by their bytes, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no match of its pattern crosses it, so a text's ids are
-    those of its runs of other characters, one after another."""
+    those of its runs of other characters, one after another. It lower-cases, so A-Z may be
+    lowered first, unless the text could come to hold a special token. Words not seen before are
+    encoded once for all texts given: plain ones by the model alone, the rest together."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-    def of(self, text: bytes) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
-        return b"".join(map(self.__getitem__, text.split()))
+        self.model = self.tokenizer.model
+        self.marks = {m.encode(): array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in (".", ",")}
+
+    def learn(self, fresh: set[bytes]) -> None:
+        others, tokenize = [], self.model.tokenize
+        for word in fresh:
+            if plain := PLAIN.fullmatch(word):
+                stem, mark = plain.groups()
+                ids = self.get(stem)
+                if ids is None:
+                    ids = self[stem] = array("I", [t.id for t in tokenize(stem.decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+                if mark:
+                    self[word] = ids + self.marks[mark]
+            else:
+                others.append(word)
+        for k in range(0, len(others), 10_000):
+            part = others[k : k + 10_000]
+            made = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
+            self.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, made, strict=True))
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        found = [list(map(self.get, w)) for w in words]
+        lacking = [(w, f, [k for k, x in enumerate(f) if x is None]) for w, f in zip(words, found, strict=True) if None in f]
+        self.learn({w[k] for w, _, at in lacking for k in at})
+        for w, f, at in lacking:
+            for k in at:
+                f[k] = self[w[k]]
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        return [b"".join(f) for f in found]
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """A worker's own, for all its tasks."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -61,11 +102,11 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
-        for batch in batches:
+        words = word_ids(tokenizer)
+        for batch in slices(batches, text):
             at, piece, start, size, crc, ids = [], [], [], [], [], []
-            for i, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                found = words.of(t or b"") + end
+            for i, own_ids in enumerate(words.of([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])):
+                found = own_ids + end
                 n = len(found) // 4
                 for p, s in enumerate(range(0, n, length)):
                     own = found[4 * s : 4 * (s + length)]
