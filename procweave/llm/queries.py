@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procweave.llm import line_dedup, media, minhash, packing, pii, quality
+from procweave.llm import langid, line_dedup, media, minhash, packing, pii, quality, toxicity
+from procweave.llm.text import held_out
 from procweave.session import table
 
 
@@ -16,6 +17,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out(F.col("doc_id"))))
+    return langid.identified(docs, model, more={"held_out": held_out(F.col("doc_id"))}).select("doc_id", "held_out", "lang_pred", "score")
+
+
 #: The key of the registered query; a deployment gives its own.
 PII_KEY = "corpus-release-1"
 
@@ -39,6 +46,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(F.col("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null and doc_id is not null").where(~fold)
+    sample = toxicity.sampled(labels, "doc_id", toxicity.SAMPLE_DOCS)  # few enough to broadcast, whatever the table's size
+    model = toxicity.train(docs.join(F.broadcast(sample), "doc_id"))
+    return toxicity.scored(docs, model, more={"held_out": fold})
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(table(spark, sf_dir, "documents"))
 

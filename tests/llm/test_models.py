@@ -1,0 +1,110 @@
+import random
+
+import numpy as np
+import pytest
+
+from procweave.llm import langid, ngrams, toxicity
+
+SYLLABLES = {"en": ["the", "tion", "and", "er", "wh", "ou"], "fr": ["eau", "é", "que", "ment", "oi", "les"], "ru": ["при", "вет", "ст", "ов", "ни"]}
+
+
+def words(rng, lang, n):
+    return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    rng = random.Random(1)
+    rows = [(i, words(rng, lang, 40), lang) for i in range(60) for lang in SYLLABLES] + [(900, None, "en"), (901, "x", None)]
+    return langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def plain_words(text):
+    out, own = [], ""
+    for c in (text or "") + "\n":
+        if c.isalpha():
+            own += c.lower() if len(c.lower()) == 1 else c
+        elif own:
+            out.append(own)
+            own = ""
+    return out
+
+
+def test_words_and_sums_against_a_loop():
+    texts = ["Thé cat,sat 12on", None, "", "ΑΒ ab\n\nprivét привет", "a", "日本語 x😀y"]
+    got = ngrams.words_of(texts)
+    expected = [(i, w) for i, t in enumerate(texts) for w in plain_words(t)]
+    assert list(zip(got.doc.tolist(), got.size.tolist(), strict=True)) == [(i, len(w)) for i, w in expected]
+    weights = np.random.default_rng(0).random((97, 2))
+    total = np.zeros((len(expected), 2))
+    for k in range(len(expected)):
+        s, n = int(got.start[k]), int(got.size[k])
+        one = ngrams.Words(np.zeros(1, np.int64), got.size[k : k + 1], got.script[k : k + 1], got.framed[s : s + n + 2], np.zeros(1, np.int64))
+        for order in (1, 3, 5):
+            for at, buckets in one.grams((order,), 97):
+                assert len(at) == max(0, n + 2 - order + 1)
+                total[k] += weights[buckets].sum(axis=0)
+    assert np.allclose(got.sums((1, 3, 5), weights), total)
+
+
+def test_viterbi_against_a_loop(model):
+    rng = np.random.default_rng(4)
+    doc = np.repeat([0, 1, 3, 4], [5, 1, 9, 30])
+    scores = rng.normal(0, 9, (len(doc), 3))
+    got = langid.Model(["a", "b", "c"], np.zeros(0), np.zeros(0), 6.0).viterbi(doc, scores)
+    for d in (0, 1, 3, 4):
+        own = scores[doc == d]
+        best, back = own[0].copy(), []
+        for row in own[1:]:
+            came = [[best[j] - (6.0 if j != k else 0) for j in range(3)] for k in range(3)]
+            back.append([int(np.argmax(c)) for c in came])
+            best = np.array([max(c) for c in came]) + row
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        value = lambda p, own=own: sum(own[i, x] for i, x in enumerate(p)) - 6.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
+        assert value(got[doc == d].tolist()) == pytest.approx(value(path[::-1]))
+
+
+def test_languages_and_spans(model):
+    rng = random.Random(2)
+    texts = [words(rng, lang, 30) for lang in SYLLABLES for _ in range(20)]
+    names, score, _ = model.spans(texts)
+    assert sum(a == b for a, b in zip(names, [x for x in SYLLABLES for _ in range(20)], strict=True)) >= 59
+    assert all(0 <= s <= 1 for s in score)
+    names, score, runs = model.spans([words(rng, "en", 20) + " " + words(rng, "fr", 20), "", None, "12 . 3", "привет"])
+    assert [r[0] for r in runs[0]] == ["en", "fr"] and abs(runs[0][0][1] - 20) <= 2
+    assert names[1:] == ["und", "und", "und", "ru"] and score[1:4] == [0, 0, 0]
+
+
+def test_identified(spark, model):
+    docs = spark.createDataFrame([(1, "the tion and", "x"), (1, "the tion and", "x"), (None, None, "y"), (2, "é" * 100_000, "z")], "doc_id long, text string, score string")
+    out = langid.identified(docs, model).collect()
+    assert len(out) == 4 and {r["lang_pred"] for r in out if r["doc_id"] == 1} == {"en"}
+    assert langid.identified(docs.limit(0), model).count() == 0
+    with pytest.raises(ValueError):
+        langid.train(docs.limit(0).withColumnRenamed("score", "lang"))
+
+
+def test_toxicity_finds_bad_words_and_their_misspellings(spark):
+    rng = random.Random(3)
+    bad = ["moron", "stupid", "pathetic", "worthless"]
+
+    def text(toxic):
+        own = words(rng, rng.choice(["en", "fr"]), rng.randint(10, 300)).split()
+        for _ in range(toxic * max(1, len(own) // 40)):
+            own.insert(rng.randrange(len(own)), rng.choice(bad))
+        return " ".join(own)
+
+    rows = [(i, text(i % 5 == 0), int(i % 5 == 0)) for i in range(500)] + [(9000, None, 1), (9001, "x", None)]
+    model = toxicity.train(spark.createDataFrame(rows[:400] + rows[500:], "doc_id long, text string, toxic int"))
+    found = model.scores([r[1] for r in rows[400:500]]) >= 0.5
+    truth = np.array([r[2] for r in rows[400:500]]) == 1
+    assert (found == truth).mean() >= 0.97
+    assert (model.scores(["the and morron tion", "patheticc ou", "the and er"]) >= 0.5).tolist() == [True, True, False]
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "moron", 3), (3, "moron", 3)], "doc_id long, text string, predicted int")
+    got = toxicity.scored(docs, model).collect()
+    assert [r["predicted"] for r in sorted(got, key=lambda r: r["doc_id"])] == [0, 0, 1, 1]
+    assert toxicity.scored(docs.limit(0), model).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.train(docs.withColumnRenamed("predicted", "toxic").limit(0))
