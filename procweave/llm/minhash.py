@@ -13,8 +13,8 @@ lower-cased); a text of one to four words is one shingle. Documents are linked w
    reaching the threshold is under `miss`. Survivors are verified on their full sets.
 4. First each row's likeliest candidate is verified, then those candidates that the links so far
    have not joined. Buckets of three or more that still hold several components are then compared
-   member with member, in blocks of bounded size, so no link between them is lost; only pairs of
-   different components that survive the pruning leave a block.
+   member with member, in blocks of a bounded number of rows, so no link between them is lost;
+   pairs are verified inside their block and links alone leave it.
 
 Minima are compared by one byte: of two different ones, one in 256 agrees, which prunes less and
 loses nothing. A pair at the threshold is missed by all bands with chance (1 - t^rows)^bands, 2e-5.
@@ -178,37 +178,60 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array([linked(x, y) for x, y in zip(left, right, strict=True)], pa.bool_()))
 
 
+def _block_links(rows: list[tuple], same_block: bool) -> list[tuple[int, int]]:
+    """Links between different components among rows of (rid, comp, block, key, bands, sig, text).
+
+    A pair is compared in the first band that it shares and in one block pair alone. The likeliest
+    pairs are verified first, and none whose components a link has already joined."""
+    rid, comp, block, key = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
+    bands = np.array([r[4] for r in rows], np.int64)
+    sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, LANES)
+    band = int(np.flatnonzero(bands[0] == key[0])[0])
+    pairs = []
+    for k in range(len(rows) - 1):
+        other = np.arange(k + 1, len(rows))
+        other = other[(comp[other] != comp[k]) & (rid[other] != rid[k]) & ((block[other] != block[k]) | same_block)]
+        other = other[~(bands[other, :band] == bands[k, :band]).any(axis=1)]
+        alive, found = surviving(np.broadcast_to(sig[k], (len(other), LANES)), sig[other])
+        pairs += [(-m, k, j) for m, j in zip(found.tolist(), other[alive].tolist(), strict=True)]
+    root, sets, out = {c: c for c in comp.tolist()}, {}, []
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for _, i, j in sorted(pairs):
+        x, y = find(int(comp[i])), find(int(comp[j]))
+        if x != y:
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingle_sets([rows[k][6]])[0]
+            if linked(sets[i], sets[j]):
+                root[max(x, y)] = min(x, y)
+                out.append((int(min(rid[i], rid[j])), int(max(rid[i], rid[j]))))
+    return out
+
+
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, one, other), of at most two blocks a group, to surviving pairs of different components."""
+    """Rows sorted by (key, one, other), of at most two blocks a group, to links (a, b)."""
     group, name = [], None
 
-    def pairs(rows: list[tuple]) -> pa.RecordBatch:
-        rid, comp, block = (np.array(x) for x in list(zip(*rows, strict=True))[:3])
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, LANES)
-        i, j = np.triu_indices(len(rows), 1)
-        one, other = name[1:]
-        ok = (comp[i] != comp[j]) & (rid[i] != rid[j]) & ((block[i] != block[j]) | (one == other))
-        i, j = i[ok], j[ok]
-        found_a, found_b, found_m = [], [], []
-        for k in range(0, len(i), 8192):
-            alive, m = surviving(sig[i[k : k + 8192]], sig[j[k : k + 8192]])
-            x, y = rid[i[k : k + 8192][alive]], rid[j[k : k + 8192][alive]]
-            found_a.append(np.minimum(x, y))
-            found_b.append(np.maximum(x, y))
-            found_m.append(m)
-        done = [np.concatenate([np.empty(0, t), *x]).astype(t) for x, t in ((found_a, "int64"), (found_b, "int64"), (found_m, "int32"))]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in done], ["a", "b", "matches"])
+    def done() -> pa.RecordBatch:
+        found = _block_links(group, name[1] == name[2]) if len(group) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "one", "other", "rid", "comp", "block", "sig")]
-        for key, one, other, *row in zip(*columns, strict=True):
+    for batch in slices(batches, "text"):
+        columns = [batch.column(c) for c in ("key", "one", "other", "rid", "comp", "block", "bands", "sig", "text")]
+        columns = [c.cast(pa.binary()).to_pylist() if k == 8 else c.to_pylist() for k, c in enumerate(columns)]
+        for key, one, other, rid, comp, block, bands, sig, text in zip(*columns, strict=True):
             if (key, one, other) != name:
-                if len(group) > 1:
-                    yield pairs(group)
+                if group:
+                    yield done()
                 group, name = [], (key, one, other)
-            group.append(tuple(row))
-    if len(group) > 1:
-        yield pairs(group)
+            group.append((rid, comp, block, key, bands, sig, text))
+    if group:
+        yield done()
 
 
 class NearDuplicates:
@@ -229,28 +252,23 @@ class NearDuplicates:
 
     def buckets(self) -> DataFrame:
         """(key, rid, hub, size) of the buckets that hold more than one class."""
-        own = self.rows.select("rid", "bands").join(self.classes.select("rid"), "rid")
+        own = self.rows.select("rid", "bands").join(self.classes.select("rid").hint("merge"), "rid")
         bands = self.staging.write(own.select("rid", F.explode("bands").alias("key")), "bands")
         hub = F.min(F.struct(F.xxhash64("rid", "key").alias("h"), F.col("rid"))).getField("rid")
         live = bands.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("size")).where("size > 1")
         live = self.staging.write(live, "live")
-        members = self.staging.write(bands.join(live, "key"), "members")
+        members = self.staging.write(bands.join(live.hint("merge"), "key"), "members")
         self.staging.drop("bands")
         self.staging.drop("live")
         self._release()
         return members
 
-    def signatures(self, ids: DataFrame) -> DataFrame:
-        return self.rows.select("rid", "sig").join(ids, "rid")
-
-    def pruned(self, pairs: DataFrame, signatures: DataFrame, name: str) -> DataFrame:
-        left = signatures.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a"))
-        right = signatures.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b"))
+    def pruned(self, pairs: DataFrame, name: str) -> DataFrame:
+        left, right = (self.known.select(F.col("rid").alias(end), F.col("sig").alias(f"sig_{end}")) for end in ("a", "b"))
         return self.staging.write(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned, "a long, b long, matches int"), name)
 
-    def verified(self, pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-        left = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        left, right = (self.known.select(F.col("rid").alias(end), F.col("text").alias(f"text_{end}")) for end in ("a", "b"))
         return self.staging.write(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), name)
 
     def joined(self, comps: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
@@ -271,36 +289,35 @@ class NearDuplicates:
             pairs = pairs.withColumn(f"comp_{end}", F.coalesce(f"comp_{end}", end))
         return pairs.where("comp_a <> comp_b")
 
-    def unsettled(self, members: DataFrame, comps: DataFrame, signatures: DataFrame, name: str) -> DataFrame:
-        """Surviving pairs across the components of buckets that members' hubs alone don't settle."""
-        own = members.where("size > 2").join(comps.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        own = self.staging.write(own.select("key", "rid", "comp", "size"), f"{name}_members")
-        mixed = self.staging.write(own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), f"{name}_mixed")
-        rows = own.join(mixed, "key").join(signatures, "rid")
+    def unsettled(self, members: DataFrame, comps: DataFrame, name: str) -> DataFrame:
+        """Links across the components of buckets that members' hubs alone don't settle."""
+        own = members.where("size > 2").select("key", "rid").join(comps.select(F.col("v").alias("rid"), "comp"), "rid", "left")
+        own = self.staging.write(own.withColumn("comp", F.coalesce("comp", "rid")), f"{name}_members")
+        mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+        rows = own.join(self.staging.write(mixed, f"{name}_mixed"), "key").join(self.known, "rid")
         blocks = F.ceil(F.col("size") / self.block).cast("int")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("rid", "key"), blocks).cast("int"))
         rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("key", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("other"), "rid", "comp", "block", "sig")
+        rows = rows.select("key", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("other"), "rid", "comp", "block", "bands", "sig", "text")
         rows = rows.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other")
-        return self.staging.write(rows.mapInArrow(_compare_blocks, "a long, b long, matches int").groupBy("a", "b").agg(F.max("matches").alias("matches")), name)
+        return self.staging.write(rows.mapInArrow(_compare_blocks, "a long, b long"), name)
 
     def components(self) -> DataFrame:
         """(v, comp) of the classes that are linked with another; v and comp are rids."""
         members = self.buckets()
-        pairs = members.where("rid <> hub").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
-        signatures = self.staging.write(self.signatures(members.select("rid").distinct()), "signatures")
-        pairs = self.pruned(pairs, signatures, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        texts = self.staging.write(self.rows.select("rid", "text").join(ends, "rid"), "texts")
+        # the one shuffle of texts: rows in no bucket with another are done; merged whatever the size, as sizes differ
+        ids = members.select("rid").distinct().hint("merge")
+        self.known = self.staging.write(self.rows.select("rid", "sig", "bands", "text").join(ids, "rid"), "known")
         self._release()
+        pairs = members.where("rid <> hub").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
+        pairs = self.pruned(pairs, "pairs")
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
-        comps = self.joined(None, self.verified(best, texts, "links_1"), "comps_1")
+        comps = self.joined(None, self.verified(best, "links_1"), "comps_1")
         rest = self.between(pairs, comps).select("a", "b")
-        comps = self.joined(comps, self.verified(rest, texts, "links_2"), "comps_2")
-        late = self.unsettled(members, comps, signatures, "late")
-        texts = self.rows.select("rid", "text").join(late.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid")
-        links = self.verified(late, self.staging.write(texts, "late_texts"), "links_3")
-        return self.joined(comps, links, "comps_3")
+        comps = self.joined(comps, self.verified(rest, "links_2"), "comps_2")
+        comps = self.joined(comps, self.unsettled(members, comps, "links_3"), "comps_3")
+        self._release()
+        return comps
 
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept of each row, and its text."""
