@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procweave.llm import langid, line_dedup, media, minhash, packing, pii, quality, toxicity
+from procweave.llm import langid, line_dedup, media, minhash, packing, pii, quality, sentences, token_counts, toxicity
 from procweave.llm.text import held_out
 from procweave.session import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.described(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n_best=4)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,8 +33,10 @@ PII_KEY = "corpus-release-1"
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
-    kinds = {f"n_{k.name}": F.size(F.filter(F.coalesce("__pw_found", F.array().cast("array<struct<value:string,kind:string,pseudonym:string>>")), lambda f, k=k: f["kind"] == k.name)).cast("long") for k in pii.KINDS}
-    return out.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), *[c.alias(n) for n, c in kinds.items()])
+    found = F.coalesce("__pw_found", F.array().cast("array<struct<value:string,kind:string,pseudonym:string>>"))
+    count = lambda name: F.size(F.filter(found, lambda f: f["kind"] == name)).cast("long")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "text", digest.alias("text_sha256"), *[count(k.name).alias(f"n_{k.name}") for k in pii.KINDS])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +52,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = token_counts.section_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.withColumns({"section": F.col("section").cast("int"), "n_tokens": F.col("n_tokens").cast("long")})
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(F.col("doc_id"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null and doc_id is not null").where(~fold)
