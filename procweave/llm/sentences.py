@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from procweave.llm.text import slices
 
 SPACE = "▁"
-#: What a byte piece costs more than the worst piece, units a worker remembers, unused pieces' scores.
-PENALTY, CACHED_UNITS, UNUSED = 10.0, 800_000, -1e8
+#: What a byte piece costs more than the worst piece; a score under that of all pieces in use.
+PENALTY, UNUSED = 10.0, -1e8
+#: Units, and units' N best segmentations, that a worker remembers.
+CACHED_UNITS, SEARCHED_UNITS = 1_000_000, 20_000
 INFINITE = float("inf")
 
 
 class Pieces(dict):
-    """A model; as a dict, the units seen: (ids, pieces, score of the best, what the second best costs)."""
+    """A model; as a dict, the units seen: (ids, score of the best, what the second best costs)."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -56,7 +58,14 @@ class Pieces(dict):
         if SPACE not in self.pieces and (i := model.piece_to_id(SPACE)) != self.unknown:
             self.pieces[SPACE] = (i, self.byte_score)  # models leave its score open
         self.spelled = {i: bytes([b]) for b, i in self.bytes.items()} | {i: p.replace(SPACE, " ").encode() for p, (i, _) in self.pieces.items()}
-        self[""] = (b"", 0, 0.0, INFINITE)
+        self[""] = (b"", 0.0, INFINITE)
+        self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.searched: dict[tuple[str, int], list] = {}
+        # the longest piece that begins with these characters, three or a whole shorter unit
+        self.most: dict[str, int] = {}
+        for p in self.pieces:
+            for k in {1, 2, 3} if len(p) > 3 else range(1, len(p) + 1):
+                self.most[p[:k]] = max(self.most.get(p[:k], 1), len(p))
 
     def lattice(self, unit: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
         """For each place, the arcs that end there as (start, ids, score); and the forward Viterbi scores."""
@@ -100,34 +109,48 @@ class Pieces(dict):
         return out
 
     def __missing__(self, unit: str) -> tuple[bytes, int, float, float]:
-        arcs, forward = self.lattice(unit)
-        n = len(unit)
-        backward = [-INFINITE] * n + [0.0]
-        for j in range(n, 0, -1):
-            b = backward[j]
-            for start, _, score in arcs[j]:
-                if score + b > backward[start]:
-                    backward[start] = score + b
-        best, ids, at = forward[n], [], n
-        second = -INFINITE
-        path = set()
+        """Forward Viterbi that keeps the two best scores of each place.
+
+        Where no piece has a unit's last two characters side by side, as with most marks after a
+        word, the unit is what comes before, seen often by itself, and its last character."""
+        if len(unit) > 2 and unit[-2:] not in self.pairs:
+            left, right = self[unit[:-1]], self[unit[-1]]
+            return self._keep(unit, (left[0] + right[0], left[1] + right[1], min(left[2], right[2])))
+        n, get, most = len(unit), self.pieces.get, self.most
+        best, second, back = [0.0] + [-INFINITE] * n, [-INFINITE] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            here, other = best[i], second[i]
+            alone = True
+            for j in range(i + 1, i + min(n - i, most.get(unit[i : i + 3], 2)) + 1):
+                if (found := get(unit[i:j])) is not None:
+                    if j == i + 1:
+                        alone = False
+                    score = here + found[1]
+                    if score > best[j]:
+                        second[j] = best[j] if best[j] > other + found[1] else other + found[1]
+                        best[j], back[j] = score, (i, found[0])
+                    elif score > second[j]:
+                        second[j] = score
+            if alone:
+                raw = unit[i].encode("utf-8", "replace")
+                cost = self.byte_score * len(raw)
+                if here + cost > best[i + 1]:
+                    second[i + 1] = max(best[i + 1], other + cost)
+                    best[i + 1], back[i + 1] = here + cost, (i, tuple(self.bytes.get(b, self.unknown) for b in raw))
+                else:
+                    second[i + 1] = max(second[i + 1], here + cost)
+        ids, at = [], n
         while at:
-            arc = next(a for a in arcs[at] if forward[a[0]] + a[2] == forward[at])
-            path.add((arc[0], at))
-            ids.append(arc[1])
-            at = arc[0]
-        # the second best uses an arc that the best does not, and is the best of those through it
-        for j in range(1, n + 1):
-            b = backward[j]
-            for start, _, score in arcs[j]:
-                through = forward[start] + score + b
-                if through > second and (start, j) not in path:
-                    second = through
-        flat = array("I", [i for part in reversed(ids) for i in part])
-        found = (flat.tobytes(), len(flat), best, best - second)
+            at, own = back[at]
+            ids.append(own)
+        ids.reverse()
+        flat = array("I", ids if all(type(x) is int for x in ids) else [i for x in ids for i in (x if type(x) is tuple else (x,))])
+        return self._keep(unit, (flat.tobytes(), best[n], best[n] - second[n]))
+
+    def _keep(self, unit: str, found: tuple[bytes, float, float]) -> tuple[bytes, float, float]:
         if len(self) > CACHED_UNITS:
             self.clear()
-            self[""] = (b"", 0, 0.0, INFINITE)
+            self[""] = (b"", 0.0, INFINITE)
         self[unit] = found
         return found
 
@@ -140,17 +163,21 @@ class Pieces(dict):
         units = self.units(text or "")
         found = [self[u] for u in units]
         ids = [f[0] for f in found]
-        score = sum([f[2] for f in found])
+        score = sum([f[1] for f in found])
         out = [(score, b"".join(ids))]
         if n > 1 and units:
-            costs = np.array([f[3] for f in found])
+            costs = np.array([f[2] for f in found])
             near = np.argsort(costs, kind="stable")[: n - 1] if len(costs) <= 4 * n else self._least(costs, n - 1)
             combined: list[tuple[float, tuple]] = [(0.0, ())]
             for k in sorted(int(k) for k in near if costs[k] < INFINITE):
-                options = self.n_best(units[k], n)
+                options = self.searched.get((units[k], n))
+                if options is None:
+                    if len(self.searched) >= SEARCHED_UNITS:
+                        self.searched.clear()
+                    options = self.searched[units[k], n] = [(s, array("I", o).tobytes()) for s, o in self.n_best(units[k], n)]
                 first = options[0][0]
                 # the cached best stands for the first option: ties must not give it twice
-                choices = [(0.0, None)] + [(first - s, array("I", o).tobytes()) for s, o in options if array("I", o).tobytes() != ids[k]]
+                choices = [(0.0, None)] + [(first - s, o) for s, o in options if o != ids[k]]
                 combined = sorted(((c + d, (*changes, (k, o)) if o is not None else changes) for c, changes in combined for d, o in choices), key=lambda x: x[0])[:n]
             for cost, changes in combined[1:]:
                 other = list(ids)
