@@ -22,9 +22,15 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    import procweave.queries  # noqa: F401  registers them
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
