@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procweave.functions.calendars import calendar_frame, closed_hours, move_minutes
 from procweave.functions.rules import compiled
-from procweave.operators import alignment, attributes, calendars, control_flow, distributions, durations, features, resources, trees
+from procweave.operators import alignment, attributes, calendars, control_flow, distributions, durations, features, hoeffding, resources, trees
 from procweave.registry import query
 from procweave.sources.event_log import from_tables
 from procweave.sources.petri_net import flower, sequence
@@ -415,3 +417,58 @@ def case_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("case_id", F.concat(F.lit("case_"), F.col("place").cast("string")).alias("name"))
 
 
+
+
+def _norules(spark: SparkSession, sf_dir: str):
+    from procweave.plans.discovery import SimulatorParameters
+
+    log = from_tables(spark, sf_dir).drop("event_id")
+    return SimulatorParameters(flower(LABELS)).discover_from_eventlog(log, max_depth_tree=0)
+
+
+START = datetime(2024, 3, 4, 9, 0, 0)
+
+
+@query(
+    "q_simulate_deterministic",
+    """with c as (select unnest(range(200)) as i), a as (select i, timestamp '2024-03-04 09:00:00' + to_minutes(10*(i+1)) as t from c)
+select 'case_'||(i+1) as case_id, 'A' as activity, 'auto' as resource, t as enabled_ts, t as start_ts, t + interval 5 minute as end_ts from a
+union all select 'case_'||(i+1), 'B', 'auto', t + interval 5 minute, t + interval 7 minute, t + interval 12 minute from a
+union all select 'case_'||(i+1), 'C', 'auto', t + interval 12 minute, t + interval 14 minute, t + interval 19 minute from a""",
+)
+def simulate_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from procweave.plans.discovery import SimulatorParameters
+    from procweave.plans.simulation import SimulatorEngine
+
+    fixed = lambda x: {"dist": "fixed", "params": [x], "min": x, "max": x, "mean": x}
+    p = SimulatorParameters(sequence(["A", "B", "C"]), arrival=fixed(10.0), execution=dict.fromkeys("ABC", fixed(5.0)), waiting={"auto": fixed(2.0)})
+    return SimulatorEngine(p).apply(spark, 200, START, deterministic_time=True)
+
+
+@query("q_simulate")
+def simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of 1000 cases from what the test log taught, without rules."""
+    from procweave.plans.simulation import SimulatorEngine
+
+    return SimulatorEngine(_norules(spark, sf_dir)).apply(spark, 1000, START, seed=7)
+
+
+@query("q_simulate_rules")
+def simulate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q_simulate, with rules of depth 2."""
+    from procweave.plans.discovery import SimulatorParameters
+    from procweave.plans.simulation import SimulatorEngine
+
+    log = from_tables(spark, sf_dir).drop("event_id")
+    return SimulatorEngine(SimulatorParameters(flower(LABELS)).discover_from_eventlog(log, max_depth_tree=2)).apply(spark, 200, START, seed=7)
+
+
+@query(
+    "q_incremental_leaf",
+    f"with {LOG}, m as (select activity, {MINUTES} as x from log) select activity as key, count(*) as n, round(avg(x), 6) as value, round(stddev_pop(x), 6) as sd, min(x) as lo, max(x) as hi from m group by activity",
+)
+def incremental_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees under their grace period are one leaf, with the mean and deviation of what they saw."""
+    rows = _minutes(from_tables(spark, sf_dir)).select(F.col("activity").alias("key"), F.col("event_id").alias("ord"), F.col("minutes").alias("y"), F.array(F.col("nation").cast("double")).alias("x"))
+    out = hoeffding.folded(rows, ["nation"], grace_period=1 << 40)
+    return out.select("key", "n", F.round("value", 6).alias("value"), F.round("sd", 6).alias("sd"), F.col("min").alias("lo"), F.col("max").alias("hi"))
