@@ -12,6 +12,7 @@ named like a verdict are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,23 +29,23 @@ SAMPLE_ROWS = 2000
 
 @dataclass(frozen=True)
 class Rule:
-    """metrics: those that the condition needs, as names of METRICS. rejects: SQL over them."""
+    """metrics: those that the condition needs, by name. rejects: from their columns to a condition."""
 
     name: str
     metrics: tuple[str, ...]
-    rejects: str
+    rejects: Callable[[dict[str, Column]], Column]
 
 
 #: The base rules, then those of the method's verdict. Ratios are kept in integers.
 BASE_RULES = (
-    Rule("few_words", ("n_words",), "n_words < 50"),
-    Rule("repeated_windows", ("n_words", "n_repeat_words"), "100 * n_repeat_words > 50 * n_words"),
+    Rule("few_words", ("n_words",), lambda m: m["n_words"] < 50),
+    Rule("repeated_windows", ("n_words", "n_repeat_words"), lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
 )
 VERDICT_RULES = (
-    Rule("symbols", ("n_words", "n_symbols"), "10 * n_symbols > n_words"),
-    Rule("repeated_lines", ("n_filled_lines", "n_dup_lines"), "2 * n_dup_lines > n_filled_lines"),
-    Rule("word_length", ("n_words", "word_chars"), "word_chars > 15 * n_words or word_chars < 2 * n_words"),
-    Rule("capitals", ("word_chars", "n_capitals"), "10 * n_capitals > 7 * word_chars"),
+    Rule("symbols", ("n_words", "n_symbols"), lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    Rule("repeated_lines", ("n_filled_lines", "n_dup_lines"), lambda m: 2 * m["n_dup_lines"] > m["n_filled_lines"]),
+    Rule("word_length", ("n_words", "word_chars"), lambda m: (m["word_chars"] > 15 * m["n_words"]) | (m["word_chars"] < 2 * m["n_words"])),
+    Rule("capitals", ("word_chars", "n_capitals"), lambda m: 10 * m["n_capitals"] > 7 * m["word_chars"]),
 )
 RULES = BASE_RULES + VERDICT_RULES
 
@@ -54,7 +55,7 @@ COST = {
     "n_dup_lines": (0, 4), "n_repeat_words": (800, 0), "n_capitals": (0, 15),
 }
 
-W, V, CAND, LINES = "__pw_words", "__pw_windows", "__pw_candidates", "__pw_lines"
+W, V, CAND = "__pw_words", "__pw_windows", "__pw_candidates"
 
 
 def _symbols(text: Column) -> Column:
@@ -97,30 +98,42 @@ def _covered(words: Column, candidates: Column) -> Column:
     return F.when(F.size(candidates) > 0, F.size(F.array_distinct(marked))).otherwise(0).cast("long")
 
 
-def measure(docs: DataFrame, text: str, metrics: tuple[str, ...], when: Column | None = None) -> DataFrame:
-    """docs with those metrics it lacks; null for the rows that `when` excludes."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, and only where the whole is."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _filled_lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda x: F.octet_length(F.btrim(x, F.lit(" \t\u000b\f\r"))) > 0)
+
+
+def _repeated(words: Column) -> Column:
+    counted = _let(_window_keys(words), lambda keys: _let(_candidates(words, keys), lambda found: _covered(words, found)))
+    return F.when(F.size(words) >= 3, counted).otherwise(F.lit(0).cast("long"))
+
+
+#: Each metric from the text, not null, and its words.
+METRICS: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, words: F.size(words).cast("long"),
+    "word_chars": lambda text, words: F.char_length(F.array_join(words, "")).cast("long"),
+    "n_symbols": lambda text, words: _symbols(text),
+    "n_filled_lines": lambda text, words: F.size(_filled_lines(text)).cast("long"),
+    "n_dup_lines": lambda text, words: _let(_filled_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    "n_repeat_words": lambda text, words: _repeated(words),
+    "n_capitals": lambda text, words: F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
+}
+
+
+def measured(docs: DataFrame, text: str, metrics: tuple[str, ...]) -> DataFrame:
+    """docs with those metrics of all rows."""
     body = F.coalesce(F.col(text), F.lit(""))
-    guarded = lambda c: c if when is None else F.when(when, c)
-    want = [m for m in metrics if m not in docs.columns]
-    if {"n_words", "word_chars", "n_repeat_words"} & set(want) and W not in docs.columns:
-        docs = docs.withColumn(W, guarded(words_of(body)))
-    if {"n_filled_lines", "n_dup_lines"} & set(want) and LINES not in docs.columns:
-        filled = F.filter(F.split(body, "\n", -1), lambda x: F.octet_length(F.btrim(x, F.lit(" \t\u000b\f\r"))) > 0)
-        docs = docs.withColumn(LINES, guarded(filled))
-    if "n_repeat_words" in want:
+    docs = docs.withColumn(W, words_of(body))
+    made = {m: METRICS[m](body, F.col(W)) for m in metrics}
+    if "n_repeat_words" in metrics:  # in columns of their own, which code generation takes up, where no row is spared
         docs = docs.withColumn(V, F.when(F.size(W) >= 3, _window_keys(F.col(W))))
         docs = docs.withColumn(CAND, F.when(F.col(V).isNotNull(), _candidates(F.col(W), F.col(V))))
-    words = F.col(W)
-    made = {
-        "n_words": lambda: F.size(words).cast("long"),
-        "word_chars": lambda: F.char_length(F.array_join(words, "")).cast("long"),
-        "n_symbols": lambda: _symbols(body),
-        "n_filled_lines": lambda: F.size(LINES).cast("long"),
-        "n_dup_lines": lambda: (F.size(LINES) - F.size(F.array_distinct(LINES))).cast("long"),
-        "n_repeat_words": lambda: F.when(F.col(CAND).isNotNull(), _covered(words, F.col(CAND))).otherwise(F.lit(0).cast("long")),
-        "n_capitals": lambda: F.regexp_count(body, F.lit(r"\p{Lu}")).cast("long"),
-    }
-    return docs.withColumns({m: guarded(made[m]()) for m in want}) if want else docs
+        made["n_repeat_words"] = F.when(F.col(CAND).isNotNull(), _covered(F.col(W), F.col(CAND))).otherwise(F.lit(0).cast("long"))
+    return docs.withColumns(made)
 
 
 def ordered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -131,10 +144,10 @@ def ordered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     if not n:
         return list(rules)
     sample = docs.select(text).where(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1_000_003)) < F.lit(int(1_000_003 * min(1, sample_rows / n)) + 1))
-    measured = measure(sample, text, tuple(dict.fromkeys(m for r in rules for m in r.metrics)))
-    row = measured.agg(
-        F.count("*").alias("n"), F.avg(F.octet_length(text)).alias("bytes"), F.avg("n_words").alias("words"),
-        *[F.avg(F.expr(r.rejects).cast("int")).alias(r.name) for r in rules],
+    names = tuple(dict.fromkeys(m for r in rules for m in r.metrics))
+    row = measured(sample, text, names).agg(
+        F.count("*").alias("n"), F.avg(F.octet_length(text)).alias("bytes"), F.avg(F.size(W)).alias("words"),
+        *[F.avg(r.rejects({m: F.col(m) for m in r.metrics}).cast("int")).alias(r.name) for r in rules],
     ).first()
     if not row["n"]:
         return list(rules)
@@ -146,25 +159,34 @@ def ordered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     return sorted(rules, key=worth, reverse=True)
 
 
+def first_rejecting(text: Column, words: Column, rules: list[Rule] | tuple[Rule, ...], known: dict[str, Column] | None = None) -> Column:
+    """The name of the first rule, in this order, that rejects; null if none does.
+
+    CASE stops at the first condition that holds, so what later rules need isn't computed. known:
+    metrics that exist as columns."""
+    out, known = F.lit(None).cast("string"), known or {}
+    for rule in reversed(rules):
+        values = F.struct(*[(known[m] if m in known else METRICS[m](text, words)).alias(m) for m in rule.metrics])
+        out = F.when(_let(values, _condition(rule)), F.lit(rule.name)).otherwise(out)
+    return out
+
+
+def _condition(rule: Rule) -> Callable[[Column], Column]:
+    return lambda s: rule.rejects({m: s[m] for m in rule.metrics})
+
+
 def cascade(docs: DataFrame, text: str = "text", rules: list[Rule] | tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with rejected_by, the first of the rules in this order that rejects, and kept.
-
-    A rule's metrics are computed only for rows that no earlier rule has rejected."""
-    verdicts = ("rejected_by", "kept", *COST)
-    out = docs.drop(*[c for c in docs.columns if c in verdicts]).withColumn("rejected_by", F.lit(None).cast("string"))
-    for rule in rules:
-        alive = F.col("rejected_by").isNull()
-        out = measure(out, text, rule.metrics, when=alive)
-        out = out.withColumn("rejected_by", F.when(alive & F.expr(rule.rejects), F.lit(rule.name)).otherwise(F.col("rejected_by")))
+    """docs with rejected_by, the first of the rules in this order that rejects, and kept."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    out = docs.drop("rejected_by", "kept").withColumn("rejected_by", _let(words_of(body), lambda words: first_rejecting(body, words, rules)))
     return out.withColumn("kept", F.col("rejected_by").isNull())
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that every rule lets through, with the columns of docs."""
-    # columns of docs may be named like metrics: the cascade sees the text under one name only
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__pw_row"), F.col(text).alias("__pw_text"))
-    judged = cascade(packed, "__pw_text", ordered(packed, "__pw_text"))
-    return judged.where("kept").select("__pw_row.*")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rules = ordered(docs.select(F.col(text).alias("__pw_text")), "__pw_text")
+    return docs.where(_let(words_of(body), lambda words: first_rejecting(body, words, rules)).isNull())
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,14 +197,11 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__pw_text"))
     order = [r for r in ordered(base, "__pw_text") if r in VERDICT_RULES]
     shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    out = measure(base, "__pw_text", shown)
-    failed = F.expr(" or ".join(f"({r.rejects})" for r in BASE_RULES))
-    out = out.withColumn("base_failed", failed).withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")))
-    for rule in order:
-        alive = F.col("rejected_by").isNull()
-        out = measure(out, "__pw_text", rule.metrics, when=alive)
-        out = out.withColumn("rejected_by", F.when(alive & F.expr(rule.rejects), F.lit(rule.name)).otherwise(F.col("rejected_by")))
-    return out.select("doc_id", *shown, "base_failed", F.col("rejected_by").isNull().alias("kept"))
+    out = measured(base, "__pw_text", shown)
+    known = {m: F.col(m) for m in shown}
+    out = out.withColumn("base_failed", BASE_RULES[0].rejects(known) | BASE_RULES[1].rejects(known))
+    rejected = first_rejecting(F.coalesce("__pw_text", F.lit("")), F.col(W), order, known)
+    return out.select("doc_id", *shown, "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(rejected.isNull()).alias("kept"))
 
 
 SQL = r"""
