@@ -27,11 +27,7 @@ def local_session(cores: int = 8, **more: str) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir where it is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        spark.conf.set("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
-        found = LOCAL_CHECKPOINTS
-    return found.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 class Staging:
@@ -40,9 +36,11 @@ class Staging:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/procweave-{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
@@ -53,10 +51,16 @@ class Staging:
         """The table of that name; df gives its schema, which an empty table lacks."""
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        for name in self.names - set(names):
+            self.drop(name)
+
     def drop(self, name: str = "") -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(conf).delete(path, True)
+        self.names -= {name} if name else self.names
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
