@@ -13,7 +13,7 @@ score and expands little else. The N best of a text differ from the best one in
 units whose second best costs least: these alone are searched, and combined exactly.
 
 Null and empty texts have no pieces: one empty segmentation of score 0. Ties go to the segmentation
-that A* meets first, longer last pieces before shorter ones, so equal texts get equal results.
+that the search meets first, always the same one, so equal texts get equal results.
 U+2581 in a text decodes to a space, as SentencePiece defines; all else decodes to itself.
 """
 
@@ -34,8 +34,8 @@ from procweave.llm.text import slices
 SPACE = "▁"
 #: What a byte piece costs more than the worst piece; a score under that of all pieces in use.
 PENALTY, UNUSED = 10.0, -1e8
-#: Units, and units' N best segmentations, that a worker remembers.
-CACHED_UNITS, SEARCHED_UNITS = 1_000_000, 20_000
+#: Units, their longest in characters, and units' N best segmentations that a worker remembers.
+CACHED_UNITS, CACHED_CHARS, SEARCHED_UNITS = 1_000_000, 64, 20_000
 INFINITE = float("inf")
 
 
@@ -61,41 +61,46 @@ class Pieces(dict):
         self[""] = (b"", 0.0, INFINITE)
         self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.searched: dict[tuple[str, int], list] = {}
-        # the longest piece that begins with these characters, three or a whole shorter unit
-        self.most: dict[str, int] = {}
-        for p in self.pieces:
-            for k in {1, 2, 3} if len(p) > 3 else range(1, len(p) + 1):
-                self.most[p[:k]] = max(self.most.get(p[:k], 1), len(p))
-
-    def lattice(self, unit: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
-        """For each place, the arcs that end there as (start, ids, score); and the forward Viterbi scores."""
-        n, get = len(unit), self.pieces.get
-        arcs: list[list] = [[] for _ in range(n + 1)]
-        forward = [0.0] + [-INFINITE] * n
+        # pieces as a tree of characters; "" holds the (id, score) of the piece that ends there
+        self.tree: dict = {}
+        for p, found in self.pieces.items():
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = found
+
+    def forward(self, unit: str) -> list[float]:
+        """The score of the best way to each place."""
+        n, tree = len(unit), self.tree
+        best = [0.0] + [-INFINITE] * n
         for i in range(n):
-            here = forward[i]
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                found = get(unit[i:j])
-                if found is None:
-                    if j > i + 1:
-                        continue
-                    raw = unit[i].encode("utf-8", "replace")
-                    ids = tuple(self.bytes.get(b, self.unknown) for b in raw)
-                    score = self.byte_score * len(raw)
-                else:
-                    ids, score = found[:1], found[1]
-                arcs[j].append((i, ids, score))
-                if here + score > forward[j]:
-                    forward[j] = here + score
-        return arcs, forward
+            here, node, j = best[i], tree, i
+            while j < n and (node := node.get(unit[j])) is not None:
+                j += 1
+                if (found := node.get("")) is not None and here + found[1] > best[j]:
+                    best[j] = here + found[1]
+            if unit[i] not in self.pieces:
+                score = here + self.byte_score * len(unit[i].encode("utf-8", "replace"))
+                best[i + 1] = max(best[i + 1], score)
+        return best
+
+    def arcs(self, unit: str, place: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
+        """(start, ids, score) of the lattice's arcs that end at a place."""
+        for start in range(max(0, place - self.longest), place):
+            if (found := self.pieces.get(unit[start:place])) is not None:
+                yield start, found[:1], found[1]
+        if unit[place - 1] not in self.pieces:
+            raw = unit[place - 1].encode("utf-8", "replace")
+            yield place - 1, tuple(self.bytes.get(b, self.unknown) for b in raw), self.byte_score * len(raw)
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a unit, (score, ids), by A* from its end to its start."""
-        arcs, forward = self.lattice(unit)
-        # (-(score so far + best of the rest), order, place, score so far, what follows)
-        heap, order, out = [(-forward[-1], 0, len(unit), 0.0, None)], 0, []
+        forward = self.forward(unit)
+        # (-(score so far + best of the rest), place, order, score so far, what follows); of equals the
+        # one nearest the start goes on, so that ties don't widen the search
+        heap, order, out = [(-forward[-1], len(unit), 0, 0.0, None)], 0, []
         while heap and len(out) < n:
-            _, _, place, score, after = heappop(heap)
+            _, place, _, score, after = heappop(heap)
             if not place:
                 ids: list[int] = []
                 while after:
@@ -103,9 +108,9 @@ class Pieces(dict):
                     after = after[1]
                 out.append((score, tuple(ids)))
                 continue
-            for start, ids_, own in arcs[place]:
+            for start, own_ids, own in self.arcs(unit, place):
                 order += 1
-                heappush(heap, (-(score + own + forward[start]), order, start, score + own, (ids_, after)))
+                heappush(heap, (-(score + own + forward[start]), start, order, score + own, (own_ids, after)))
         return out
 
     def __missing__(self, unit: str) -> tuple[bytes, int, float, float]:
@@ -113,21 +118,23 @@ class Pieces(dict):
 
         Where no piece has a unit's last two characters side by side, as with most marks after a
         word, the unit is what comes before, seen often by itself, and its last character."""
-        if len(unit) > 2 and unit[-2:] not in self.pairs:
+        if 2 < len(unit) <= CACHED_CHARS and unit[-2:] not in self.pairs:
             left, right = self[unit[:-1]], self[unit[-1]]
             return self._keep(unit, (left[0] + right[0], left[1] + right[1], min(left[2], right[2])))
-        n, get, most = len(unit), self.pieces.get, self.most
+        n, tree = len(unit), self.tree
         best, second, back = [0.0] + [-INFINITE] * n, [-INFINITE] * (n + 1), [None] * (n + 1)
         for i in range(n):
             here, other = best[i], second[i]
-            alone = True
-            for j in range(i + 1, i + min(n - i, most.get(unit[i : i + 3], 2)) + 1):
-                if (found := get(unit[i:j])) is not None:
+            alone, node, j = True, tree, i
+            while j < n and (node := node.get(unit[j])) is not None:
+                j += 1
+                if (found := node.get("")) is not None:
                     if j == i + 1:
                         alone = False
-                    score = here + found[1]
+                    own = found[1]
+                    score = here + own
                     if score > best[j]:
-                        second[j] = best[j] if best[j] > other + found[1] else other + found[1]
+                        second[j] = best[j] if best[j] > other + own else other + own
                         best[j], back[j] = score, (i, found[0])
                     elif score > second[j]:
                         second[j] = score
@@ -148,10 +155,11 @@ class Pieces(dict):
         return self._keep(unit, (flat.tobytes(), best[n], best[n] - second[n]))
 
     def _keep(self, unit: str, found: tuple[bytes, float, float]) -> tuple[bytes, float, float]:
-        if len(self) > CACHED_UNITS:
-            self.clear()
-            self[""] = (b"", 0.0, INFINITE)
-        self[unit] = found
+        if len(unit) <= CACHED_CHARS:
+            if len(self) > CACHED_UNITS:
+                self.clear()
+                self[""] = (b"", 0.0, INFINITE)
+            self[unit] = found
         return found
 
     @staticmethod
@@ -174,7 +182,9 @@ class Pieces(dict):
                 if options is None:
                     if len(self.searched) >= SEARCHED_UNITS:
                         self.searched.clear()
-                    options = self.searched[units[k], n] = [(s, array("I", o).tobytes()) for s, o in self.n_best(units[k], n)]
+                    options = [(s, array("I", o).tobytes()) for s, o in self.n_best(units[k], n)]
+                    if len(units[k]) <= CACHED_CHARS:
+                        self.searched[units[k], n] = options
                 first = options[0][0]
                 # the cached best stands for the first option: ties must not give it twice
                 choices = [(0.0, None)] + [(first - s, o) for s, o in options if o != ids[k]]
