@@ -10,7 +10,7 @@ scores prefer it.
 
 Training counts n-grams of a bounded sample of labelled texts: at most `sample_docs` rows, and
 the counts, of a fixed number of buckets, are added up on the driver. Texts without a letter, and
-null texts, are `und` with score 0. Repeated rows and equal texts get equal results.
+null texts, are `und` with score 0, and so are all texts if there was nothing to learn from. Repeated rows and equal texts get equal results.
 """
 
 from __future__ import annotations
@@ -77,6 +77,8 @@ class Model:
 
     def spans(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[tuple[str, int]]]]:
         """Each text's language, score, and runs (language, words) of equal labels."""
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         words, scores = self.word_scores(texts)
         labels = self.viterbi(words.doc, scores)
         k, n = len(self.languages), len(texts)
@@ -109,7 +111,7 @@ def sampled(labelled: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from rows with a text and a language. Without any, a ValueError."""
+    """A model from rows with a text and a language. Without any, it knows no language and calls all texts und."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
@@ -134,7 +136,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         got = [np.frombuffer(r[c], np.int64) for c in ("grams", "scripts")]
         counted[r["lang"]] = [a + b for a, b in zip(counted[r["lang"]], got, strict=True)] if r["lang"] in counted else got
     if not counted:
-        raise ValueError("no labelled text to learn from")
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPT_NAMES), 0), bool))
     languages = sorted(counted)
     grams = np.stack([counted[x][0] for x in languages], axis=1) + SMOOTHING
     used = np.stack([counted[x][1] for x in languages], axis=1)

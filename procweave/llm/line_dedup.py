@@ -137,6 +137,7 @@ def drop_shared_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, m
     frequent = staging.write(runs.frequent(), "frequent")
     hits = hashed.join(frequent, "line_hash", "left_semi").groupBy("text_hash").agg(F.collect_set("line_hash").alias("__pw_hits"))
     hits = staging.write(hits, "hits")
+    staging.keep("hits")
     rest = [docs[c] for c in docs.columns if c != text] or [F.lit(0).alias("none")]
     packed = docs.select(F.struct(*rest).alias("row"), F.col(text).alias("__pw_text"))
     joined = packed.withColumn("text_hash", F.unhex(F.md5(F.coalesce("__pw_text", F.lit(""))))).join(hits, "text_hash", "left").select("row", "__pw_text", "__pw_hits")

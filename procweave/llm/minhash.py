@@ -326,6 +326,7 @@ class NearDuplicates:
         named = self.staging.write(named, "named")
         least = self.staging.write(named.groupBy("comp").agg(F.min("least_id").alias("component_id")), "least")
         ids = self.staging.write(named.join(least, "comp").select("cls", "component_id"), "ids")
+        self.staging.keep("rows", "ids")
         self._release()
         out = self.rows.select("doc_id", "text", "n_shingles", "cls").join(ids, "cls", "left")
         group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

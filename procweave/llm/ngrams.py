@@ -80,6 +80,14 @@ class Words:
                 total[have] += np.add.reduceat(values, first, axis=0)
         return total
 
+    def ids(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        if not len(self.doc):
+            return np.zeros(0, np.uint64)
+        place = np.arange(len(self.framed)) - np.repeat(self.start, self.size + 2)
+        powers = np.cumprod(np.full(int(self.size.max()) + 2, PLACES[0], np.uint64))
+        return np.add.reduceat((self.framed.astype(np.uint64) + np.uint64(1)) * powers[place], self.start)
+
     def counts(self, orders: tuple[int, ...]) -> np.ndarray:
         """The n-grams of each word."""
         framed = self.size + 2

@@ -8,7 +8,8 @@ layer is linear, scoring needs one number for each bucket, its embedding's part
 
 Long texts dilute an average. The bag is therefore also averaged over windows of WINDOW words, and
 a text is as toxic as its most toxic window: in training, the window that scores highest stands for
-its text.
+its text. A word counts once in a window, and a window as LEAST_GRAMS n-grams at least, so that a
+word said over and over doesn't make a window of its own weight.
 
 Null and empty texts, and texts without letters, have an empty bag: their score is the share of
 toxic rows learned from, under a half. Repeated rows and equal texts get equal scores.
@@ -28,7 +29,7 @@ from procweave.llm.langid import sampled
 from procweave.llm.ngrams import words_of
 from procweave.llm.text import slices
 
-ORDERS, BUCKETS, DIMENSIONS, WINDOW = (3, 4, 5, 6), 1 << 17, 8, 12
+ORDERS, BUCKETS, DIMENSIONS, WINDOW, LEAST_GRAMS = (3, 4, 5, 6), 1 << 17, 8, 8, 60
 SAMPLE_DOCS, CLEAN_WINDOWS, LEAST_WINDOWS, RATE, SEED = 5000, 16, 100_000, 0.5, 11
 #: Passes over the sample: more of a small one.
 EPOCHS, LEAST_TEXTS, MOST_EPOCHS = 12, 60_000, 40
@@ -50,6 +51,14 @@ def windows_of(words) -> np.ndarray:
     return np.cumsum(cut | (place % WINDOW == 0)) - 1
 
 
+def fresh_words(words, window: np.ndarray) -> np.ndarray:
+    """Whether each word is its window's first of its kind: a word said again adds nothing."""
+    _, first = np.unique(np.stack([window.astype(np.uint64), words.ids()]), axis=1, return_index=True)
+    out = np.zeros(len(window), bool)
+    out[first] = True
+    return out
+
+
 def bags_of(texts: list[str], most: np.ndarray, rng: np.random.Generator, step: int = 100) -> Bags:
     """The windows to learn from: of each text, at most `most` at random."""
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
@@ -64,10 +73,11 @@ def bags_of(texts: list[str], most: np.ndarray, rng: np.random.Generator, step:
         rank = np.empty(len(text), np.int64)
         rank[order] = np.arange(len(text)) - np.searchsorted(text[order], text[order])
         keep = rank < most[text]
-        holder = np.repeat(window, words.size + 2)
+        holder = np.repeat(np.arange(len(window)), words.size + 2)
+        used = fresh_words(words, window) & keep[window]
         grams = [(holder[at], b.astype(np.int32)) for at, b in words.grams(ORDERS, BUCKETS)]
         of, bucket = (np.concatenate(x) for x in zip(*grams, strict=True))
-        bucket, of = bucket[keep[of]], of[keep[of]]
+        bucket, of = bucket[used[of]], window[of[used[of]]]
         found.append((text[keep], np.bincount(of, minlength=len(text))[keep], bucket[np.argsort(of, kind="stable")]))
     return Bags(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
@@ -83,10 +93,11 @@ class Model:
         out = np.full(len(texts), -np.inf)
         if len(words.doc):
             window = windows_of(words)
-            total = np.bincount(window, weights=words.sums(ORDERS, self.odds))
-            count = np.bincount(window, weights=words.counts(ORDERS))
+            fresh = fresh_words(words, window)
+            total = np.bincount(window, weights=words.sums(ORDERS, self.odds) * fresh)
+            count = np.bincount(window, weights=words.counts(ORDERS) * fresh)
             first = np.flatnonzero(np.diff(window, prepend=-1))
-            np.maximum.at(out, words.doc[first], total / np.maximum(count, 1))
+            np.maximum.at(out, words.doc[first], total / np.maximum(count, LEAST_GRAMS))
         out = np.where(np.isfinite(out), out + self.bias, self.prior)
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
@@ -101,8 +112,9 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int | None = None, rate: fl
     rng = np.random.default_rng(seed)
     bags = bags_of(texts, np.where(toxic == 1, 1 << 30, max(CLEAN_WINDOWS, LEAST_WINDOWS // max(len(texts), 1))), rng)
     n, bucket, begin = len(bags.text), bags.bucket, np.concatenate([[0], np.cumsum(bags.count)])
-    vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
-    out = np.zeros((DIMENSIONS, 2), np.float32)
+    # embeddings start at 0, so that n-grams never learned say nothing; the output weights break the tie
+    vectors = np.zeros((BUCKETS, DIMENSIONS), np.float32)
+    out = rng.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen_v, seen_o, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
     labels = toxic.astype(np.int64)[bags.text]
@@ -117,7 +129,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int | None = None, rate: fl
     def log_odds() -> np.ndarray:
         flat = np.concatenate([vectors @ (out[:, 1] - out[:, 0]), np.zeros(1, np.float32)])
         total = np.add.reduceat(flat[np.append(bucket, BUCKETS)], begin[:-1]) if n else np.zeros(0)
-        return np.where(bags.count > 0, total / np.maximum(bags.count, 1), 0)
+        return np.where(bags.count > 0, total / np.maximum(bags.count, LEAST_GRAMS), 0)
 
     for epoch in range(epochs):
         if epoch == 0:
@@ -135,7 +147,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int | None = None, rate: fl
         for k in range(0, len(rows), 64):
             part = rows[k : k + 64]
             b, of = gather(part)
-            size = bags.count[part].astype(np.float32)[:, None]
+            size = np.maximum(bags.count[part], LEAST_GRAMS).astype(np.float32)[:, None]
             hidden = np.stack([np.bincount(of, weights=vectors[b, d], minlength=len(part)) for d in range(DIMENSIONS)], axis=1).astype(np.float32) / size
             logits = hidden @ out + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -157,11 +169,15 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int | None = None, rate: fl
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from at most sample_docs rows with a text and a 0 or 1. Rows that lack either don't count; without both labels, a ValueError."""
+    """A model from at most sample_docs rows with a text and a 0 or 1. Rows that lack either don't count.
+
+    Where all labels are alike, every text gets their share, kept off 0 and 1; without labels, as if all were 0."""
     rows = sampled(labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)), key, sample_docs).select(F.col(key).cast("string").alias("k"), text, label).toPandas()
     rows = rows.sort_values(["k", text], kind="stable")
     if rows[label].nunique() < 2:
-        raise ValueError("texts of both labels are needed")
+        share = 0.999 if len(rows) and rows[label].iat[0] == 1 else 0.001
+        log_odds = float(np.log(share / (1 - share)))
+        return Model(np.zeros(BUCKETS), log_odds, log_odds)
     return fit(rows[text].tolist(), rows[label].to_numpy())
 
 
