@@ -116,3 +116,14 @@ def histogram(rows: DataFrame, value: str, bins: int = 30) -> DataFrame:
     total = rows.where(F.col(value).isNotNull()).agg(F.count("*").alias("total"))
     out = counts.crossJoin(F.broadcast(total))  # a row with a row for each bin
     return out.select("bin", (F.col("a") + F.col("bin") * F.col("w")).alias("lo"), (F.col("a") + (F.col("bin") + 1) * F.col("w")).alias("hi"), "n", (F.col("n") / (F.col("total") * F.col("w"))).alias("density"))
+
+
+def density(family: str, params: Column, x: Column) -> Column:
+    """The family's density at x, for drawing over a histogram; null for fixed."""
+    return {
+        "fixed": lambda: F.lit(None).cast("double"),
+        "norm": lambda: F.exp(-(((x - params[0]) / params[1]) ** 2) / 2) / (params[1] * math.sqrt(2 * math.pi)),
+        "expon": lambda: F.when(x >= params[0], F.exp(-(x - params[0]) / params[1]) / params[1]).otherwise(0.0),
+        "uniform": lambda: F.when(x.between(params[0], params[0] + params[1]), 1 / params[1]).otherwise(0.0),
+        "lognorm": lambda: F.when(x > params[1], F.exp(-((F.log((x - params[1]) / params[2]) / params[0]) ** 2) / 2) / ((x - params[1]) * params[0] * math.sqrt(2 * math.pi))).otherwise(0.0),
+    }[family]()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from procweave.functions.calendars import WEEK_SLOTS, calendar_frame
 from procweave.functions.rules import by_key
-from procweave.operators import alignment, calendars, control_flow, distributions, durations, hoeffding, resources, trees
+from procweave.operators import alignment, calendars, control_flow, distributions, durations, hoeffding, logistic, resources, trees
 from procweave.operators.attributes import vocabulary
 from procweave.operators.windows import running_sum
 from procweave.session import Staging
@@ -25,8 +25,8 @@ class SimulatorParameters:
     """What a simulation needs, with defaults: even choices, one resource, always open, a minute for all.
 
     Models of times are a distribution (a dict like ONE), or rules: nodes by number whose leaves
-    have a value and a distribution. Weights are numbers, or rules in rules mode; a transition
-    without rules weighs 1 there. attribute_rows: a table (j, attributes...) of the cases to draw
+    have a value and a distribution. Weights are numbers, or rules or logistic models in rules mode; a
+    transition without weighs 1 there. attribute_rows: a table (j, attributes...) of the cases to draw
     attributes from, j from 0; None without attributes."""
 
     net: Net
@@ -58,19 +58,22 @@ class SimulatorParameters:
             self.act_resource.setdefault(a, {r: 1 / len(self.resources) for r in self.resources})
             self.execution.setdefault(a, dict(ONE))
 
-    def discover_from_eventlog(self, log: DataFrame, max_depth_tree: int = 3, incremental_discovery: bool = False, grace_period: int = 1000) -> SimulatorParameters:
+    def discover_from_eventlog(self, log: DataFrame, max_depth_tree: int = 3, incremental_discovery: bool = False, grace_period: int = 1000, model_type: str = "DecisionTree") -> SimulatorParameters:
         """Learns everything from a log. max_depth_tree < 1: frequencies and one distribution a key.
 
-        What reaches the driver has a row a transition, a resource, a calendar hour or a tree node."""
+        model_type: of the transitions' weights in rules mode, DecisionTree or LogisticRegression. What
+        reaches the driver has a row a transition, a resource, a calendar hour or a tree node."""
         if incremental_discovery and max_depth_tree < 1:
             raise ValueError("incremental discovery makes rules: max_depth_tree must be at least 1")
+        if model_type not in ("DecisionTree", "LogisticRegression"):
+            raise ValueError(f"unknown model type {model_type}")
         staging = Staging(log.sparkSession, "discovery")
-        log = validated(log)
+        log = staging.write(validated(log), "log")  # read by every step below
         self.rules_mode = max_depth_tree >= 1
         self._attributes(log, staging)
         numeric = [a for a in self.attributes if a not in self.values]
         steps = staging.write(alignment.feature_table(log, self.net), "features")
-        self._control_flow(steps, numeric, max_depth_tree, incremental_discovery, grace_period)
+        self._control_flow(steps, numeric, max_depth_tree, incremental_discovery, grace_period, model_type)
         kept = resources.retained(log)
         self.resources = [r["resource"] for r in kept.collect()]
         if not self.resources:
@@ -95,7 +98,7 @@ class SimulatorParameters:
             self.attribute_rows = staging.write(placed.select(F.col("j").cast("long").alias("j"), *self.attributes), "attributes")
             self.attribute_count = self.attribute_rows.count()
 
-    def _control_flow(self, steps: DataFrame, numeric: list[str], depth: int, incremental: bool, grace: int) -> None:
+    def _control_flow(self, steps: DataFrame, numeric: list[str], depth: int, incremental: bool, grace: int, model_type: str) -> None:
         never = {t: 0.0 for t in self.net.transitions}
         if depth < 1:
             self.weights = never | {r["transition"]: r["weight"] for r in control_flow.frequency_weights(steps).collect()}
@@ -103,6 +106,9 @@ class SimulatorParameters:
         rows, names = control_flow.training_rows(steps, self.net.labels, numeric, self.values)
         both = rows.groupBy("key").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").select("key")
         rows = rows.join(both, "key", "left_semi")
+        if model_type == "LogisticRegression" and not incremental:
+            self.weights = {t: None for t in never} | logistic.fit(rows, names)
+            return
         if incremental:
             rules = hoeffding.folded(rows.withColumn("ord", F.col("row_id")), names, depth, grace, classes=True)
         else:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from procweave.functions.calendars import calendar_frame, move, move_minutes, prefixes
 from procweave.functions.rules import leaf_of, tests
 from procweave.operators.distributions import drawn, sample
+from procweave.operators.logistic import probability
 from procweave.operators.windows import running_sum
 from procweave.plans.discovery import SimulatorParameters
 
@@ -88,6 +89,8 @@ class Walker:
         model = self.weights.get(transition)
         if not self.rules_mode:
             return float(model or 0.0)
+        if isinstance(model, dict) and "coefficients" in model:
+            return probability(model, features)
         return float(leaf_of(model, features)[1]["value"]) if is_rules(model) else 1.0
 
     def _time(self, case: Case, model: dict, features: dict[str, float]) -> int:

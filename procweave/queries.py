@@ -472,3 +472,58 @@ def incremental_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _minutes(from_tables(spark, sf_dir)).select(F.col("activity").alias("key"), F.col("event_id").alias("ord"), F.col("minutes").alias("y"), F.array(F.col("nation").cast("double")).alias("x"))
     out = hoeffding.folded(rows, ["nation"], grace_period=1 << 40)
     return out.select("key", "n", F.round("value", 6).alias("value"), F.round("sd", 6).alias("sd"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+
+
+FEATURE_HISTORY = ", ".join(f"cast({x} as bigint) as {x}" for x in LABELS)
+
+
+@query(
+    "q_features",
+    f"""with {LOG}, {ENABLED}, h as (select event_id, {HISTORY} from log window b as (partition by case_id order by event_idx rows between unbounded preceding and 1 preceding))
+select f.event_id, cast(event_idx + 1 as integer) as step_idx, activity as transition, resource, enabled_ts, start_ts, end_ts, 6 as n_enabled,
+  (select count(*) from log q where q.resource=f.resource and q.end_ts>f.enabled_ts and q.start_ts<f.enabled_ts) as workload, {FEATURE_HISTORY}
+from f join h using (event_id)""",
+)
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feature table on the flower net, for steps with an event."""
+    log = from_tables(spark, sf_dir)
+    steps = alignment.feature_table(log.drop("event_id"), flower(LABELS)).where("log_idx is not null")
+    ids = log.select("case_id", F.col("event_idx").alias("log_idx"), "event_id")
+    return steps.join(ids, ["case_id", "log_idx"]).select("event_id", "step_idx", "transition", "resource", "enabled_ts", "start_ts", "end_ts", F.size("prev_enabled").alias("n_enabled"), "workload", *LABELS)
+
+
+@query(
+    "q_density",
+    f"""with {LOG}, m as (select activity, {MINUTES} as x from log), s as (select activity, avg(x) as a, stddev_pop(x) as sd, min(x) as lo from m group by activity), g as (select unnest(range(0, 200, 10)) as x)
+select activity, cast(x as double) as x, round(exp(-(((x-a)/sd)**2)/2)/(sd*sqrt(2*pi())), 9) as norm, round(case when x>=lo then exp(-(x-lo)/(a-lo))/(a-lo) else 0 end, 9) as expon from s, g""",
+)
+def densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = distributions.summaries(_minutes(from_tables(spark, sf_dir)), ["activity"], "minutes")
+    points = base.withColumn("x", F.explode(F.array(*[F.lit(float(k)) for k in range(0, 200, 10)])))
+    return points.select("activity", "x", *[F.round(distributions.density(f, distributions.parameters(f), F.col("x")), 9).alias(f) for f in ("norm", "expon")])
+
+
+@query("q_logistic")
+def logistic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of each transition's logistic model."""
+    from procweave.operators import logistic
+
+    log = from_tables(spark, sf_dir)
+    steps = features.history(alignment.stepped(log.drop("event_id"), flower(LABELS)), LABELS, ["step_idx"])
+    rows, names = control_flow.training_rows(steps, LABELS, ["nation"], {})
+    models = logistic.fit(rows.cache(), names)
+    return spark.createDataFrame([(k, f, w) for k, m in models.items() for f, w in [("intercept", m["intercept"]), *m["coefficients"].items()]], "transition string, feature string, weight double")
+
+
+@query(
+    "q_case_attributes",
+    f"with {LOG} select case_id, segment, nation, start_ts from log where event_idx=0",
+)
+def case_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case's attributes, of its first event."""
+    return alignment.cases(from_tables(spark, sf_dir)).select("case_id", "segment", "nation", F.col("first_start").alias("start_ts"))
+
+
+@query("q_net_arcs", "select unnest(['src','tau_in','p','p','p','p','p','p','click','error','purchase','signup','view','tau_out']) as source, unnest(['tau_in','p','click','error','purchase','signup','view','tau_out','p','p','p','p','p','snk']) as target, 1 as weight")
+def net_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flower(LABELS).frames(spark)[2]

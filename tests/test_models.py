@@ -128,3 +128,26 @@ def test_windows_in_two_levels(spark):
     before = {r["i"]: r["p"] for r in previous(df, "v", F.floor(F.col("i") / 9), ["i"], "p").collect()}
     assert before == {i: rows[i - 1][2] if i else None for i, _, _ in rows}
     assert datetime(2024, 1, 1).weekday() == 0
+
+
+def test_logistic_weights_follow_the_data(spark):
+    from procweave.operators import logistic
+
+    rng = random.Random(9)
+    rows = []
+    for _ in range(3000):
+        a = rng.uniform(-2, 2)
+        rows.append(("t", float(rng.random() < 1 / (1 + math.exp(-(0.5 + 1.5 * a)))), [a]))
+    rows += [("always", 1.0, [0.0])] * 3
+    df = spark.createDataFrame(rows, "key string, y double, x array<double>")
+    models = logistic.fit(df, ["a"])
+    assert set(models) == {"t"} and models["t"]["intercept"] == pytest.approx(0.5, abs=0.15) and models["t"]["coefficients"]["a"] == pytest.approx(1.5, abs=0.15)
+    got = spark.createDataFrame([(1.0,)], "a double").select(logistic.compiled(models["t"])).first()[0]
+    assert got == pytest.approx(logistic.probability(models["t"], {"a": 1.0}))
+
+
+def test_densities_have_mass_one(spark):
+    grid = spark.range(-4000, 20000).select((F.col("id") / 100).alias("x"))
+    for family, params in (("norm", [10.0, 2.0]), ("expon", [1.0, 3.0]), ("uniform", [2.0, 4.0]), ("lognorm", [0.5, -1.0, 3.0])):
+        p = F.array(*map(F.lit, params))
+        assert grid.select(F.sum(distributions.density(family, p, F.col("x"))) / 100).first()[0] == pytest.approx(1, abs=0.01)

@@ -84,6 +84,14 @@ def test_rules_mode_and_coupling(spark, learned):
     assert {r["m"] for r in out} <= {3, 30} and 30 in {r["m"] for r in out}
 
 
+def test_logistic_mode(spark, learned):
+    log, labels, _ = learned
+    p = SimulatorParameters(flower(labels)).discover_from_eventlog(log, max_depth_tree=1, model_type="LogisticRegression")
+    assert "coefficients" in p.weights[labels[0]] and SimulatorEngine(p).apply(spark, 10, START).count() >= 0
+    with pytest.raises(ValueError):
+        SimulatorParameters(flower(labels)).discover_from_eventlog(log, model_type="other")
+
+
 def test_incremental_mode(spark, learned):
     log, labels, _ = learned
     p = SimulatorParameters(flower(labels)).discover_from_eventlog(log, max_depth_tree=2, incremental_discovery=True, grace_period=200)
