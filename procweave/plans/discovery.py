@@ -123,10 +123,15 @@ class SimulatorParameters:
         waits = durations.timed(real, frame, "enabled_ts", "start_ts", "minutes")
         arrived = durations.arrivals(log, calendar_frame(spark, {"": self.arrival_calendar}))
         if depth < 1:
-            fits = lambda rows, key: {r[key]: r["fit"].asDict(recursive=True) for r in distributions.fitted(rows, [key], "minutes").collect()}
-            self.execution = dict.fromkeys(history, NOTHING) | fits(busy, "label")
-            self.waiting = dict.fromkeys(self.resources, NOTHING) | fits(waits, "resource")
-            self.arrival = fits(arrived.withColumn("key", F.lit("")), "key").get("", NOTHING)
+            # all three kinds in one pass
+            rows = busy.select(F.lit("execution").alias("kind"), F.col("label").alias("key"), "minutes")
+            rows = rows.unionAll(waits.select(F.lit("waiting"), "resource", "minutes")).unionAll(arrived.select(F.lit("arrival"), F.lit(""), "minutes"))
+            fits: dict[str, dict] = {"execution": {}, "waiting": {}, "arrival": {}}
+            for r in distributions.fitted(rows, ["kind", "key"], "minutes").collect():
+                fits[r["kind"]][r["key"]] = r["fit"].asDict(recursive=True)
+            self.execution = dict.fromkeys(history, NOTHING) | fits["execution"]
+            self.waiting = dict.fromkeys(self.resources, NOTHING) | fits["waiting"]
+            self.arrival = fits["arrival"].get("", NOTHING)
             return
         rows, names = durations.training_rows(busy, "label", "minutes", numeric, self.values, history, resources=self.resources)
         zero = {0: {"feature": None, "value": 0.0, **NOTHING}}
