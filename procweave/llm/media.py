@@ -8,8 +8,9 @@ RIFF form with hdrl, INFO, movi and idx1; every frame is an intra frame. A comme
 payload's length, as the last frame is filled up with zeros.
 
 Reading parses the RIFF chunks, takes the frames by idx1, parses each JPEG's markers and decodes
-its scan; any frame size and any Huffman table of lossless, one-component frames with a restart
-interval of one row is understood, other coding processes are refused with an error.
+its scan. Lossless frames are understood at any size and with any Huffman table if they have one
+component and a restart interval of one row; sequential ones, as cameras write, give the samples of
+their first component. Other coding processes are refused with an error.
 
 Shots: neighbouring frames' histograms of 16 bins are compared by their absolute difference over
 the frame's samples; a shot begins where it exceeds both a floor and the mean plus three deviations
@@ -267,6 +268,136 @@ def parse_frame(data: bytes, start: int, end: int) -> tuple[int, int, list[tuple
     raise ValueError("a frame without a scan")
 
 
+def zigzag() -> np.ndarray:
+    """The place, row by row, of each of a block's 64 coefficients in the order they are coded: along
+    the diagonals, up on even ones and down on odd ones."""
+    cells = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))
+    return np.array([r * 8 + c for r, c in cells])
+
+
+ZIGZAG = zigzag()
+_k = np.arange(8)
+#: The cosine transform of eight samples, a row for each frequency.
+DCT = np.sqrt(np.where(_k == 0, 1 / 8, 2 / 8))[:, None] * np.cos((2 * _k[None, :] + 1) * _k[:, None] * np.pi / 16)
+
+
+def coding(data: bytes, start: int, end: int) -> int:
+    """The marker of a frame's coding process: 0xC0 and 0xC1 are sequential, 0xC3 is lossless."""
+    at = start + 2
+    while at + 4 <= end:
+        if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return data[at + 1]
+        at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+    raise ValueError("a frame without a coding process")
+
+
+class _Bits:
+    """A restart interval's bits; codes are looked up sixteen bits at a time."""
+
+    def __init__(self, data: bytes):
+        raw = np.frombuffer(data.replace(b"\xff\x00", b"\xff") + b"\xff" * 8, np.uint8).astype(np.int64)
+        self.words = ((raw[:-4] << 32) | (raw[1:-3] << 24) | (raw[2:-2] << 16) | (raw[3:-1] << 8) | raw[4:]).tolist()
+        self.at, self.limit = 0, (len(raw) - 8) * 8
+
+    def take(self, n: int) -> int:
+        if self.at + n > self.limit:
+            raise ValueError("a scan ends before its blocks do")
+        out = (self.words[self.at >> 3] >> (40 - (self.at & 7) - n)) & ((1 << n) - 1)
+        self.at += n
+        return out
+
+    def symbol(self, table: tuple[list[int], list[int]]) -> int:
+        top = (self.words[self.at >> 3] >> (24 - (self.at & 7))) & 0xFFFF
+        self.at += table[1][top]
+        if not table[1][top] or self.at > self.limit:
+            raise ValueError("a code that the table doesn't have")
+        return table[0][top]
+
+    def signed(self, size: int) -> int:
+        value = self.take(size) if size else 0
+        return value if not size or value >> (size - 1) else value - (1 << size) + 1
+
+
+def decode_sequential(data: bytes, start: int, end: int) -> np.ndarray:
+    """The first component, as samples, of a sequential Huffman-coded JPEG of 8 bits, at its own size.
+
+    Tables must be in the frame. Other components are decoded only to go on in the stream."""
+    at, quant, tables, parts, restart = start + 2, {}, {}, [], 0
+    while at + 4 <= end:
+        marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        body = data[at + 4 : at + 2 + size]
+        if marker == 0xDB:
+            k = 0
+            while k < len(body):
+                wide, name = body[k] >> 4, body[k] & 15
+                quant[name] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, k + 1).astype(np.int64)
+                k += 65 + 64 * wide
+        elif marker in (0xC0, 0xC1):
+            precision, height, width, n = struct.unpack_from(">BHHB", body)
+            if precision != 8:
+                raise ValueError("only 8-bit frames are decoded")
+            parts = [[body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]] for k in range(n)]
+        elif marker == 0xC4:
+            k = 0
+            while k < len(body):
+                counts = tuple(body[k + 1 : k + 17])
+                symbols, lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+                for symbol, code, length in codes(counts, tuple(body[k + 17 : k + 17 + sum(counts)])):
+                    symbols[code << (16 - length) : (code + 1) << (16 - length)] = symbol
+                    lengths[code << (16 - length) : (code + 1) << (16 - length)] = length
+                tables[body[k]] = (symbols.tolist(), lengths.tolist())
+                k += 17 + sum(counts)
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body)[0]
+        elif marker == 0xDA:
+            used = {body[1 + 2 * k]: (body[2 + 2 * k] >> 4, 16 + (body[2 + 2 * k] & 15)) for k in range(body[0])}
+            scan = data[at + 2 + size : end - 2]
+            break
+        at += 2 + size
+    else:
+        raise ValueError("a frame without a scan")
+    if not parts or set(used) != {p[0] for p in parts} or any(t not in tables for pair in used.values() for t in pair) or any(p[3] not in quant for p in parts):
+        raise ValueError("a frame whose tables or components are not all in one scan")
+    if len(parts) == 1:
+        parts[0][1] = parts[0][2] = 1
+    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+    wide, high = -(-width // (8 * across)), -(-height // (8 * down))
+    for marker in _RESTARTS[1:]:
+        scan = scan.replace(marker, _RESTARTS[0])
+    streams = [_Bits(x) for x in (scan.split(_RESTARTS[0]) if restart else [scan])]
+    first = parts[0]
+    blocks = np.zeros((high * first[2], wide * first[1], 64))
+    last: list[int] = []
+    for unit in range(wide * high):
+        if unit % (restart or wide * high) == 0:
+            bits, last = streams[unit // (restart or wide * high)], [0] * len(parts)
+        for k, (name, h, v, _) in enumerate(parts):
+            dc, ac = (tables[t] for t in used[name])
+            for b in range(h * v):
+                found = [0] * 64
+                last[k] += bits.signed(bits.symbol(dc))
+                found[0], place = last[k], 1
+                while place < 64:
+                    run, size = divmod(bits.symbol(ac), 16)
+                    if not size:
+                        if run != 15:
+                            break
+                        place += 16
+                        continue
+                    place += run
+                    if place > 63:
+                        raise ValueError("a run beyond its block")
+                    found[place] = bits.signed(size)
+                    place += 1
+                if k == 0:
+                    blocks[unit // wide * v + b // h, unit % wide * h + b % h] = found
+    own = np.zeros_like(blocks)
+    own[:, :, ZIGZAG] = blocks * quant[first[3]]
+    samples = DCT.T @ own.reshape(*blocks.shape[:2], 8, 8) @ DCT + 128
+    whole = np.clip(np.rint(samples), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(blocks.shape[0] * 8, -1)
+    return whole[: -(-height * first[2] // down), : -(-width * first[1] // across)]
+
+
 _RESTARTS = [bytes([0xFF, 0xD0 + k]) for k in range(8)]
 
 
@@ -276,6 +407,9 @@ def read_payloads(files: list[bytes]) -> list[tuple[bytes, np.ndarray, int]]:
     for data in files:
         info, own = parse_avi(data), []
         for a, b in info["frames"]:
+            if coding(data, a, b) in (0xC0, 0xC1):
+                own.append(decode_sequential(data, a, b))
+                continue
             width, height, table, c, d = parse_frame(data, a, b)
             scan = data[c:d]
             # no code makes FF before a byte other than 0, so every FF D0..D7 is a restart marker
@@ -291,7 +425,7 @@ def read_payloads(files: list[bytes]) -> list[tuple[bytes, np.ndarray, int]]:
     decoded = {k: decode_rows(lanes, k[0], list(k[1])) for k, lanes in rows.items()}
     out = []
     for info, own in found:
-        frames = np.stack([decoded[w, t][at : at + h] for w, t, at, h in own]) if own else np.zeros((0, 0, 0), np.uint8)
+        frames = np.stack([x if isinstance(x, np.ndarray) else decoded[x[0], x[1]][x[2] : x[2] + x[3]] for x in own]) if own else np.zeros((0, 0, 0), np.uint8)
         length = int(info["comment"].partition("payload=")[2] or frames.size)
         out.append((frames.tobytes()[:length], frames, info["microseconds"]))
     return out

@@ -67,7 +67,7 @@ def test_riff_structure():
 
 def test_what_is_not_understood_is_refused():
     data = media.write_payloads([b"x" * 64])[0]
-    for bad in (b"", b"RIFF\0\0\0\0WAVE", data.replace(b"\xff\xc3", b"\xff\xc0"), data[: len(data) // 2]):
+    for bad in (b"", b"RIFF\0\0\0\0WAVE", data.replace(b"\xff\xc3", b"\xff\xc2"), data.replace(b"\xff\xc3", b"\xff\xc0"), data[: len(data) // 2]):
         with pytest.raises((ValueError, struct.error)):
             media.read_payloads([bad])
 
@@ -101,3 +101,67 @@ def test_documents(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert media.described(docs).count() == 0 and media.clips(media.stored(docs), "doc_id").count() == 0
+
+
+def sequential_jpeg(planes, factors, restart=0):
+    """A plain encoder: codes of one length, quantization by 1 and 3. planes: whole numbers of blocks."""
+    ac_symbols = [16 * r + z for r in range(16) for z in range(1, 11)] + [0x00, 0xF0]
+    tables = {0x00: (4, list(range(12))), 0x10: (8, ac_symbols)}
+    seg = lambda m, b: bytes([0xFF, m]) + struct.pack(">H", len(b) + 2) + b
+    h, w = planes[0].shape
+    head = b"\xff\xd8" + seg(0xDB, bytes([0] + [1] * 64)) + seg(0xDB, bytes([1] + [3] * 64))
+    head += seg(0xC0, struct.pack(">BHHB", 8, h, w, len(planes)) + b"".join(bytes([k + 1, a << 4 | b, min(k, 1)]) for k, (a, b) in enumerate(factors)))
+    for name, (length, symbols) in tables.items():
+        head += seg(0xC4, bytes([name] + [len(symbols) if n == length else 0 for n in range(1, 17)] + symbols))
+    head += (seg(0xDD, struct.pack(">H", restart)) if restart else b"") + seg(0xDA, bytes([len(planes)]) + b"".join(bytes([k + 1, 0]) for k in range(len(planes))) + bytes([0, 63, 0]))
+    cosine = np.array([[(1 / 8 if u == 0 else 1 / 4) ** 0.5 * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    code = lambda t, s: f"{tables[t][1].index(s):0{tables[t][0]}b}"
+    number = lambda v: f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}" if v else ""
+    order, r, c, up = [], 0, 0, True
+    for _ in range(64):
+        order.append((r, c))
+        if up and (r == 0 or c == 7) or not up and (c == 0 or r == 7):
+            r, c = (r, c + 1) if (r == 0 and up or r == 7 and not up) and c < 7 else (r + 1, c)
+            up = not up
+        else:
+            r, c = (r - 1, c + 1) if up else (r + 1, c - 1)
+    across, down = (max(f[i] for f in factors) for i in (0, 1)) if len(planes) > 1 else (1, 1)
+    units, out, bits, last = (w // (8 * across), h // (8 * down)), b"", "", [0] * len(planes)
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits or "0", 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    for u in range(units[0] * units[1]):
+        if restart and u and u % restart == 0:
+            out, bits, last = out + flush(bits) + bytes([0xFF, 0xD0 + (u // restart - 1) % 8]), "", [0] * len(planes)
+        for k, plane in enumerate(planes):
+            fh, fv = factors[k] if len(planes) > 1 else (1, 1)
+            for b in range(fh * fv):
+                y, x = (u // units[0] * fv + b // fh) * 8, (u % units[0] * fh + b % fh) * 8
+                q = np.rint(cosine @ (plane[y : y + 8, x : x + 8] - 128.0) @ cosine.T / (1 if k == 0 else 3)).astype(int)
+                values = [int(q[p]) for p in order]
+                diff, last[k] = values[0] - last[k], values[0]
+                bits += code(0x00, abs(diff).bit_length()) + number(diff)
+                run, end = 0, max((i for i in range(64) if values[i]), default=0)
+                for v in values[1 : end + 1]:
+                    if v == 0:
+                        run += 1
+                        continue
+                    bits += code(0x10, 0xF0) * (run // 16) + code(0x10, 16 * (run % 16) + abs(v).bit_length()) + number(v)
+                    run = 0
+                bits += code(0x10, 0) if end < 63 else ""
+    return head + out + flush(bits) + b"\xff\xd9"
+
+
+def test_sequential_frames_are_decoded():
+    rng = np.random.default_rng(3)
+    luma = np.add.outer(np.arange(32) * 3, np.arange(48) * 2).astype(np.uint8)
+    luma[8:20, 10:30] = rng.integers(0, 256, (12, 20))
+    chroma = np.full((16, 24), 90, np.uint8)
+    for frame in (sequential_jpeg([luma], [(1, 1)]), sequential_jpeg([luma], [(1, 1)], 5), sequential_jpeg([luma, chroma, chroma], [(2, 2), (1, 1), (1, 1)]), sequential_jpeg([luma, chroma, chroma], [(2, 2), (1, 1), (1, 1)], 2)):
+        got = media.decode_sequential(frame, 0, len(frame))
+        assert got.shape == luma.shape and np.abs(got.astype(int) - luma).max() <= 2
+    data = media.avi([sequential_jpeg([luma], [(1, 1)])] * 3 + [sequential_jpeg([255 - luma // 2], [(1, 1)])] * 2, 48, 32, "")
+    _, frames, micro = media.read_payloads([data])[0]
+    assert frames.shape == (5, 32, 48) and micro == 40_000 and media.shots(frames) == [(0, 3), (3, 5)]
