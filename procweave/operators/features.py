@@ -12,9 +12,10 @@ def workload(log: DataFrame, probes: DataFrame, at: str, key: str = "event_id")
     """(key, workload): how many events of the probe's resource started before and end after its time.
 
     A sweep: intervals add 1 at their start and take 1 at their end; ends come before a probe at the
-    same time and starts after it, so both bounds are strict. Intervals without length never count.
+    same time and starts after it, so both bounds are strict. Intervals without length never count, and
+    a probe without a resource has no workload.
     The running sum goes hour by hour, so a busy resource is spread over many tasks."""
-    real = log.where("start_ts < end_ts")
+    real = log.where("resource is not null and start_ts < end_ts")
     none = F.lit(None).cast(probes.schema[key].dataType)
     rows = real.select("resource", F.col("start_ts").alias("at"), F.lit(2).alias("turn"), F.lit(1).alias("d"), none.alias(key))
     rows = rows.unionAll(real.select("resource", "end_ts", F.lit(0), F.lit(-1), none))

@@ -10,15 +10,17 @@ def running_sum(rows: DataFrame, value: str, keys: list[str], block: Column, ord
     """rows with the sum of value up to each row in (keys, block, order); block must grow with order.
 
     A key's rows are summed block by block, and the blocks' totals, a row each, are summed before
-    them, so no task needs all of a key. frame_end=-1 leaves the row itself out."""
+    them, so no task needs all of a key. frame_end=-1 leaves the row itself out. Rows with a null key
+    or block are summed within their block alone."""
     rows = rows.withColumn("__block", block)
     totals = rows.groupBy(*keys, "__block").agg(F.sum(value).alias("__total"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "__block", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
     own = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
     summed = rows.withColumn("__own", F.coalesce(F.sum(value).over(own), F.lit(0)))
-    on = [summed[k].eqNullSafe(totals[k]) for k in [*keys, "__block"]]
-    return summed.join(totals, on, "left").select(*[summed[c] for c in rows.columns if c != "__block"], (F.col("__own") + F.col("__before")).alias(out))
+    # joined on the window's own keys, so the rows stay where they are
+    joined = summed.join(totals, [*keys, "__block"], "left")
+    return joined.select(*[c for c in rows.columns if c != "__block"], (F.col("__own") + F.coalesce("__before", F.lit(0))).alias(out))
 
 
 def previous(rows: DataFrame, value: str, block: Column, order: list[str], out: str) -> DataFrame:

@@ -92,10 +92,10 @@ def test_workload_against_all_pairs(spark):
     rows = []
     for i in range(120):
         a = T0 + timedelta(minutes=rng.randrange(0, 600, 5))
-        rows.append((i, rng.choice(["x", "y"]), a, a + timedelta(minutes=rng.randrange(0, 300, 5)), T0 + timedelta(minutes=rng.randrange(0, 700, 5))))
+        rows.append((i, rng.choice(["x", "y", None]), a, a + timedelta(minutes=rng.randrange(0, 300, 5)), T0 + timedelta(minutes=rng.randrange(0, 700, 5))))
     df = spark.createDataFrame(rows, "event_id long, resource string, start_ts timestamp_ntz, end_ts timestamp_ntz, at_ts timestamp_ntz")
     got = {r[0]: r[1] for r in features.workload(df, df, "at_ts").collect()}
-    assert got == {i: sum(q[1] == r and q[3] > at and q[2] < at and q[2] < q[3] for q in rows) for i, r, _, _, at in rows}
+    assert got == {i: sum(r is not None and q[1] == r and q[3] > at and q[2] < at and q[2] < q[3] for q in rows) for i, r, _, _, at in rows}
 
 
 PNML = """<?xml version="1.0"?><pnml xmlns="http://www.pnml.org/version-2009/grammar/pnml"><net id="n"><page id="g">
