@@ -29,7 +29,7 @@ from procweave.llm.text import slices
 from procweave.session import Staging
 
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 700_000
 
 #: Words of letters that need no normalizing and are one match of the pattern, with a mark after it
 #: that is another: a-z and the lower-case letters of U+00E0 to U+00FF, as UTF-8.

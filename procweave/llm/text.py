@@ -14,7 +14,7 @@ SPACE = " \t\n\u000b\f\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text that one vectorised step takes at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def words_of(text: Column) -> Column:
