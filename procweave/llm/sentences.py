@@ -1,14 +1,14 @@
 """SentencePiece encoding with the N best segmentations, and decoding.
 
 The pieces of a text's lattice are a model's normal pieces with their scores; a character that is
-no piece is spelled in byte pieces, each at the least score less a penalty, which is also a lone
-space's score where the model leaves it open. A segmentation's score
+no piece is spelled in byte pieces, each at the least score less a penalty, which is also the score
+of pieces of one or more spaces where the model leaves it open. A segmentation's score
 is the sum of its pieces' scores. Spaces are written as U+2581, one is put in front of the text,
 and nothing else is normalized, as identity models do.
 
-Pieces have U+2581 at their start alone, so a text's lattice falls into units, one for each space
-and line break, and its best segmentation into the units' best ones. A unit's forward Viterbi
-scores are the exact heuristics of a backward A* search, which so pops its segmentations in order of
+Pieces have U+2581 at their start alone, once or more, so a text's lattice falls into units, one for
+each run of spaces with what follows it and each line break, and its best segmentation into the
+units' best ones. A unit's forward Viterbi scores are the exact heuristics of a backward A* search, which so pops its segmentations in order of
 score and expands little else. The N best of a text differ from the best one in at most the N - 1
 units whose second best costs least: these alone are searched, and combined exactly.
 
@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from procweave.llm.text import slices
 
 SPACE = "▁"
-#: What a byte piece costs more than the worst piece; a score under that of all pieces in use.
-PENALTY, UNUSED = 10.0, -1e8
+#: What a byte piece costs more than the worst piece; where a model leaves a piece's score open, it is under this.
+PENALTY, OPEN = 10.0, -1e8
 #: Units, their longest in characters, and units' N best segmentations that a worker remembers.
 CACHED_UNITS, CACHED_CHARS, SEARCHED_UNITS = 1_000_000, 64, 20_000
 INFINITE = float("inf")
@@ -48,13 +48,14 @@ class Pieces(dict):
         super().__init__()
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        normal = [i for i in range(size) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i)) and model.get_score(i) > UNUSED]
-        self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in normal}
-        if any(SPACE in p[1:] for p in self.pieces) or any("\n" in p for p in self.pieces):
+        normal = [i for i in range(size) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
+        self.byte_score = min(s for i in normal if (s := model.get_score(i)) > OPEN) - PENALTY
+        self.pieces = {model.id_to_piece(i): (i, s if (s := model.get_score(i)) > OPEN else self.byte_score) for i in normal}
+        if any(SPACE in p.lstrip(SPACE) for p in self.pieces) or any("\n" in p for p in self.pieces):
             raise ValueError("pieces that cross spaces or lines are not supported")
         self.longest = max(map(len, self.pieces))
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.unknown, self.byte_score = model.unk_id(), min(s for _, s in self.pieces.values()) - PENALTY
+        self.unknown = model.unk_id()
         if SPACE not in self.pieces and (i := model.piece_to_id(SPACE)) != self.unknown:
             self.pieces[SPACE] = (i, self.byte_score)  # models leave its score open
         self.spelled = {i: bytes([b]) for b, i in self.bytes.items()} | {i: p.replace(SPACE, " ").encode() for p, (i, _) in self.pieces.items()}
@@ -164,7 +165,8 @@ class Pieces(dict):
 
     @staticmethod
     def units(text: str) -> list[str]:
-        return f"{SPACE}{text.replace(' ', f' {SPACE}')}".replace("\n", " \n ").split(" ") if text else []
+        # a space right after another one starts no unit of its own
+        return f"{SPACE}{text.replace(' ', f' {SPACE}')}".replace(f"{SPACE} ", SPACE).replace("\n", " \n ").split(" ") if text else []
 
     def encode(self, text: str | None, n: int = 1) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text, or all if there are fewer: (score, ids as unsigned 32-bit numbers)."""
