@@ -5,6 +5,11 @@ security numbers, IBAN-like accounts, access keys and secrets after a word like
 a rule to check is validated first: octets are at most 255, card numbers pass the Luhn check,
 dates exist. What fails is left as it is.
 
+A card number may stand beside other numbers, so in a run of digit groups every window of 13 to 19
+digits between groups' borders is checked. Where valid ones overlap, likely ones (16 digits from 2 to
+6, 15 digits of 34 or 37) come before others, which are then taken for chance. Among equals the first
+is taken, and the rest of the others is replaced too.
+
 A value is replaced under a key by a value of its own format, always by the same one, so equal
 values stay linked across documents, and different values stay different:
 
@@ -38,8 +43,13 @@ DATE = r"\b(?:18|19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])"
-ANY = "|".join((EMAIL, SECRET, ACCESS_KEY, IBAN, DATE, IP, PHONE, SSN, CARD))
+CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: Groups of digits that may hold cards, up to one that belongs to another finding or to a word.
+RUN = rf"(?<![0-9A-Za-z-])(?={CARD})[0-9]++(?![A-Za-z]|-(?![0-9]))(?:[ -](?!{DATE}|{SSN})[0-9]++(?![A-Za-z]|-(?![0-9])|\.[0-9]|[A-Za-z0-9._%+-]{{0,64}}+@))*+"
+ANY = "|".join((EMAIL, SECRET, ACCESS_KEY, IBAN, DATE, IP, PHONE, SSN, RUN))
+#: Lengths of cards, in the order in which windows with the same start are taken, and the likely ones.
+CARD_DIGITS = (16, 15, 14, 13, 19, 18, 17)
+LIKELY = r"^(?:[2-6](?:[ -]?[0-9]){15}|3[ -]?[47](?:[ -]?[0-9]){13})$"
 #: No finding lacks all of these; a test that is cheaper than ANY.
 HINT = r"[0-9@=:]"
 
@@ -121,12 +131,57 @@ def luhn_sum(digits: Column, skip_last: int) -> Column:
 
 
 def permute_card(value: Column, key: str) -> Column:
-    """The digits but the last permuted, the last made to pass the Luhn check."""
+    """The digits but the last permuted, the last made to pass the Luhn check; of a rest, all permuted."""
     plain = _digits(value)
     body = F.substring(plain, F.lit(1), F.char_length(plain) - 1)
     with_check = lambda b: F.concat(b, ((10 - luhn_sum(b, 1) % 10) % 10).cast("string"))
     moved = F.transform(F.array(permute_text(body, key, "card")), with_check)[0]
-    return F.transform(F.array(moved), lambda m: _in_place(value, _digits(value), m))[0]
+    whole = F.transform(F.array(moved), lambda m: _in_place(value, _digits(value), m))[0]
+    return F.when(F.char_length(plain) < min(CARD_DIGITS), permute_digits(value, key, "card")).otherwise(whole)
+
+
+def _is_run(value: Column) -> Column:
+    return value.rlike("^[0-9][0-9 -]*+$") & (F.char_length(_digits(value)) >= min(CARD_DIGITS))
+
+
+def cards_of(run: Column) -> Column:
+    """A run of digit groups as an array of structs (value, kind) that make it up: cards and what stands between."""
+    starts = lambda n: F.regexp_extract_all(run, F.lit(rf"(?<![0-9])(?=[0-9])(?=([0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9]))?)"), F.lit(1))
+    valid = lambda w: F.when((w != "") & (luhn_sum(_digits(w), 0) % 10 == 0), w)
+    windows = F.arrays_zip(*[starts(n).alias(f"w{n}") for n in CARD_DIGITS])
+    windows = F.transform(windows, lambda x: F.array_compact(F.array(*[valid(x[f"w{n}"]) for n in CARD_DIGITS])))
+    groups = F.regexp_extract_all(run, F.lit("([ -]?[0-9]+)"), F.lit(1))
+    likely = lambda w: F.get(F.filter(w, lambda c: c.rlike(LIKELY)), F.lit(0))
+    first = F.transform(windows, lambda w: F.struct(F.coalesce(likely(w), F.get(w, F.lit(0))).alias("card"), likely(w).isNotNull().alias("likely")))
+    size = lambda v: F.char_length(_digits(v))
+    item = lambda v, kind: F.struct(v.alias("value"), F.lit(kind).cast("string").alias("kind"))
+    state = lambda out, left, ahead, sure: F.struct(out.alias("out"), F.greatest(left, F.lit(0)).alias("left"), F.greatest(ahead, F.lit(0)).alias("ahead"), sure.alias("sure"))
+
+    def open_at(found: Column, i: Column) -> Column:
+        """The card that starts at a group, unless it is unlikely and a likely one starts inside it."""
+        inside = F.size(F.split(found[i]["card"], "[ -]")) - 1
+        later = F.exists(F.filter(F.sequence(F.lit(0), inside), lambda k: k > 0), lambda k: F.coalesce(F.get(found, i + k)["likely"], F.lit(False)))
+        return F.when(found[i]["likely"] | ~later, found[i]["card"])
+
+    def step(s: Column, x: Column) -> Column:
+        digits, mark = size(x["group"]), F.regexp_extract(x["group"], "^([ -]?)", 1)
+        counts = (s["left"] == 0) | ~s["sure"] | x["likely"]  # else chance beside a likely card
+        ahead = F.greatest(s["ahead"], F.coalesce(F.when(counts, size(x["card"])), F.lit(0))) - digits
+        rest = F.array(item(mark, None), item(F.substring(x["group"], F.char_length(mark) + 1, F.char_length(x["group"])), "card"))
+        return (
+            F.when(s["left"] > 0, state(s["out"], s["left"] - digits, ahead, s["sure"]))
+            .when(x["card"].isNotNull(), state(F.concat(s["out"], F.array(item(mark, None), item(x["card"], "card"))), size(x["card"]) - digits, ahead, x["likely"]))
+            .when(s["ahead"] > 0, state(F.concat(s["out"], rest), F.lit(0), ahead, s["sure"]))
+            .otherwise(state(F.concat(s["out"], F.array(item(x["group"], None))), F.lit(0), ahead, s["sure"]))
+        )
+
+    def walked(found: Column) -> Column:
+        own = F.transform(found, lambda f, i: open_at(found, i))
+        start = state(F.array().cast("array<struct<value:string,kind:string>>"), F.lit(0), F.lit(0), F.lit(False))
+        marked = F.zip_with(own, found, lambda c, f: F.struct(c.alias("card"), f["likely"].alias("likely")))
+        return F.aggregate(F.zip_with(groups, marked, lambda g, c: F.struct(g.alias("group"), c["card"].alias("card"), c["likely"].alias("likely"))), start, step, lambda s: s["out"])
+
+    return F.transform(F.array(first), walked)[0]
 
 
 #: Days of the 400 years from 1800-01-01; two factors of 146097.
@@ -207,21 +262,30 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def findings(docs: DataFrame, key: str, text: str = "text", out: str = "__pw_found") -> DataFrame:
-    """docs with an array of structs (value, kind, pseudonym) in text order; null for texts without."""
+def _parts(docs: DataFrame, key: str, text: str, out: str) -> DataFrame:
+    """docs with an array for each match of ANY: the structs (value, kind, pseudonym) that make it up; null for texts without."""
     body = F.col(text)
     raw = F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(f"({ANY})"), F.lit(1)))
-    described = lambda v: F.transform(F.array(F.struct(v.alias("value"), kind_of(v).alias("kind"))), lambda s: F.struct(s["value"].alias("value"), s["kind"].alias("kind"), pseudonym(s["value"], s["kind"], key).alias("pseudonym")))[0]
+    known = lambda v: F.array(F.struct(v.alias("value"), kind_of(v).alias("kind")))
+    kinds = lambda v: F.when(_is_run(v), cards_of(v)).otherwise(known(v))
+    described = lambda v: F.transform(kinds(v), lambda s: F.struct(s["value"].alias("value"), s["kind"].alias("kind"), pseudonym(s["value"], s["kind"], key).alias("pseudonym")))
     return docs.withColumn("__pw_raw", raw).withColumn(out, F.when(F.size("__pw_raw") > 0, F.transform("__pw_raw", described))).drop("__pw_raw")
 
 
+def findings(docs: DataFrame, key: str, text: str = "text", out: str = "__pw_found") -> DataFrame:
+    """docs with an array of structs (value, kind, pseudonym) in text order; null for texts without."""
+    return _parts(docs, key, text, out).withColumn(out, F.flatten(out))
+
+
 def pseudonymized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with every valid finding of the text replaced; all rows and columns stay."""
-    found = findings(docs, key, text)
+    found = _parts(docs, key, text, "__pw_parts")
     gaps = F.split(F.col(text), ANY, -1)
-    join = lambda g: F.concat(F.array_join(F.zip_with(F.slice(g, F.lit(1), F.size(g) - 1), F.col("__pw_found"), lambda a, b: F.concat(a, b["pseudonym"])), ""), F.element_at(g, -1))
-    moved = F.when(F.col("__pw_found").isNull(), F.col(text)).otherwise(F.transform(F.array(gaps), join)[0])
-    return found.withColumn("__pw_new", moved).select(*[F.col("__pw_new").alias(c) if c == text else found[c] for c in docs.columns], "__pw_found")
+    new = lambda b: F.array_join(F.transform(b, lambda x: x["pseudonym"]), "")
+    join = lambda g: F.concat(F.array_join(F.zip_with(F.slice(g, F.lit(1), F.size(g) - 1), F.col("__pw_parts"), lambda a, b: F.concat(a, new(b))), ""), F.element_at(g, -1))
+    moved = F.when(F.col("__pw_parts").isNull(), F.col(text)).otherwise(F.transform(F.array(gaps), join)[0])
+    columns = [F.col("__pw_new").alias(c) if c == text else found[c] for c in docs.columns]
+    return found.withColumn("__pw_new", moved).select(*columns, F.flatten("__pw_parts").alias("__pw_found"))
 
 
 def without_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -53,6 +53,33 @@ def test_what_fails_its_check_stays(spark):
     assert replaced(spark, texts) == texts
 
 
+CARD = "4111 1111 1111 1111"
+
+
+def test_cards_beside_other_numbers_are_replaced(spark):
+    alone = replaced(spark, [CARD, "4111111111111111"])
+    beside = ["card {} 123 ok", "{} 12/26", "pay 50 {} now", "7 {} 99 3", "{}-123", "12345 {} 2024 x", "1 2 3 {}"]
+    out = replaced(spark, [b.format(c) for b in beside for c in (CARD, "4111111111111111")])
+    assert out == [b.format(c) for b in beside for c in alone]
+
+
+def test_windows_of_a_run(spark):
+    other = "4845 1681 1440 7329"
+    a, b, date, ssn, ip = replaced(spark, [CARD, other, "2024-02-29", "123-45-6789", "97.51.17.173"])
+    texts = [f"{CARD} {other}", f"12345 2024-02-29 {CARD}", f"{CARD} 123-45-6789", f"{CARD} 97.51.17.173", "12345678 2024-02-29 12", "1234 5678 1234 5678 123"]
+    assert replaced(spark, texts) == [f"{a} {b}", f"12345 {date} {a}", f"{a} {ssn}", f"{a} {ip}", f"12345678 {date} 12", texts[-1]]
+    # two valid windows that share groups: neither stays readable
+    run = next(f"4{h} 5678 9012 {CARD}" for h in range(100, 1000) if luhn(f"4{h} 5678 9012 4111"))
+    out = replaced(spark, [run])[0]
+    assert shape(out) == shape(run) and not out.endswith("1111 1111 1111")
+
+
+def test_long_runs_of_digits(spark):
+    texts = ["1 " * 20_000, "7" * 100_000, "12 34 56 " * 5_000 + CARD]
+    out = replaced(spark, texts)
+    assert list(map(shape, out)) == list(map(shape, texts)) and CARD not in out[2] and out[1] == texts[1]
+
+
 def test_dates_are_permuted(spark):
     days = spark.range(146097).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     out = days.select(pii.permute_date(F.col("d"), "k").alias("p")).agg(F.countDistinct("p"), F.min("p"), F.max("p"), F.count("p")).first()
