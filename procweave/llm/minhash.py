@@ -13,8 +13,10 @@ lower-cased); a text of one to four words is one shingle. Documents are linked w
    reaching the threshold is under `miss`. Survivors are verified on their full sets.
 4. First each row's likeliest candidate is verified, then those candidates that the links so far
    have not joined. Buckets of three or more that still hold several components are then compared
-   member with member, in blocks of a bounded number of rows, so no link between them is lost;
-   pairs are verified inside their block and links alone leave it.
+   member with member, so no link between them is lost: signatures alone, in wide blocks, which tells
+   the members that have an unpruned partner in another component. Only these get their texts, in
+   blocks of a bounded number of rows; pairs are verified inside their block and links alone leave
+   it. So members that are like nobody cost a comparison of bytes with each other, and no text.
 
 Minima are compared by one byte: of two different ones, one in 256 agrees, which prunes less and
 loses nothing. A pair at the threshold is missed by all bands with chance (1 - t^rows)^bands, 2e-5.
@@ -43,8 +45,8 @@ ROWS, BANDS = 5, 40
 LANES = ROWS * BANDS
 #: Chance of reaching the threshold below which a pair is pruned, and minima compared at a time.
 MISS, BATCH = 1e-6, 40
-#: Rows of a bucket that are compared at once with as many others.
-BLOCK = 256
+#: Rows of a bucket whose texts are compared at once with as many others, and such blocks whose signatures are.
+BLOCK, WIDE = 256, 16
 
 _rng = np.random.default_rng(20240229)
 _POWER, _TAG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -178,6 +180,64 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array([linked(x, y) for x, y in zip(left, right, strict=True)], pa.bool_()))
 
 
+def _first_shared(bands: np.ndarray, key: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of pairs of rows that share the band of this key, whether it is the first that they share."""
+    band = int(np.flatnonzero(bands[0] == key)[0])
+    return ~(bands[left, :band] == bands[right, :band]).any(axis=1)
+
+
+def _screened(comp: np.ndarray, block: np.ndarray, wide: np.ndarray, same_block: bool, key: int, bands: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (left, right) of rows of one bucket, in different components, that Bayes' bound doesn't prune.
+
+    Two wide blocks are compared with each other, or one with itself."""
+    lanes, least = np.ascontiguousarray(sig[:, :BATCH].T), NEEDED[0][1]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(len(sig) - 1):
+        alive = (lanes[:, k + 1 :] == lanes[:, k, None]).sum(axis=0, dtype=np.uint8) >= least
+        alive &= (comp[k + 1 :] != comp[k]) & ((wide[k + 1 :] != wide[k]) | same_block)
+        other = np.flatnonzero(alive) + k + 1
+        if len(other):
+            kept, _ = surviving(np.broadcast_to(sig[k], (len(other), LANES)), sig[other])
+            other = other[kept]
+            other = other[_first_shared(bands, key, np.full(len(other), k), other)]
+            left.append(np.full(len(other), k))
+            right.append(other)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _screen_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, one, other), of at most two wide blocks a group, to (key, one, other, rid, comp): the
+    members of each pair that isn't pruned, under the narrow blocks that hold the two."""
+
+    def done(key: int, same_block: bool, group: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(group)
+        rid, comp, block, wide = (rows.column(c).to_numpy() for c in ("rid", "comp", "block", "wide"))
+        bands = np.stack(rows.column("bands").to_numpy())
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, LANES)
+        left, right = _screened(comp, block, wide, same_block, key, bands, sig)
+        low, high = np.minimum(block[left], block[right]), np.maximum(block[left], block[right])
+        found = np.unique(np.concatenate([np.stack([low, high, side], axis=1) for side in (left, right)]), axis=0) if len(left) else np.zeros((0, 3), np.int64)
+        kinds = pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()
+        made = (np.full(len(found), key), found[:, 0], found[:, 1], rid[found[:, 2]], comp[found[:, 2]])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["key", "one", "other", "rid", "comp"])
+
+    group, name = [], None
+    for batch in batches:
+        names = np.stack([batch.column(c).to_numpy() for c in ("key", "wide_one", "wide_other")], axis=1)
+        cuts = np.flatnonzero((np.diff(names, axis=0) != 0).any(axis=1)) + 1 if len(names) else []
+        for start, end in zip([0, *cuts], [*cuts, len(names)], strict=True):
+            if start == end:
+                continue
+            own = tuple(names[start].tolist())
+            if group and own != name:
+                yield done(name[0], name[1] == name[2], group)
+                group = []
+            name = own
+            group.append(batch.slice(start, end - start))
+    if group:
+        yield done(name[0], name[1] == name[2], group)
+
+
 def _block_links(rows: list[tuple], same_block: bool) -> list[tuple[int, int]]:
     """Links between different components among rows of (rid, comp, block, key, bands, sig, text).
 
@@ -186,14 +246,8 @@ def _block_links(rows: list[tuple], same_block: bool) -> list[tuple[int, int]]:
     rid, comp, block, key = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
     bands = np.array([r[4] for r in rows], np.int64)
     sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, LANES)
-    band = int(np.flatnonzero(bands[0] == key[0])[0])
-    pairs = []
-    for k in range(len(rows) - 1):
-        other = np.arange(k + 1, len(rows))
-        other = other[(comp[other] != comp[k]) & (rid[other] != rid[k]) & ((block[other] != block[k]) | same_block)]
-        other = other[~(bands[other, :band] == bands[k, :band]).any(axis=1)]
-        alive, found = surviving(np.broadcast_to(sig[k], (len(other), LANES)), sig[other])
-        pairs += [(-m, k, j) for m, j in zip(found.tolist(), other[alive].tolist(), strict=True)]
+    left, right = _screened(comp, block, block, same_block, int(key[0]), bands, sig)
+    score = -(sig[left] == sig[right]).sum(axis=1, dtype=np.int32)
     root, sets, out = {c: c for c in comp.tolist()}, {}, []
 
     def find(c: int) -> int:
@@ -201,7 +255,7 @@ def _block_links(rows: list[tuple], same_block: bool) -> list[tuple[int, int]]:
             root[c] = c = root[root[c]]
         return c
 
-    for _, i, j in sorted(pairs):
+    for _, i, j in sorted(zip(score.tolist(), left.tolist(), right.tolist(), strict=True)):
         x, y = find(int(comp[i])), find(int(comp[j]))
         if x != y:
             for k in (i, j):
@@ -237,8 +291,8 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 class NearDuplicates:
     """Groups of near duplicates of a table of documents; the steps of the module's text, one a method."""
 
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK):
-        self.staging, self.block = Staging(docs.sparkSession, "minhash"), block
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, wide: int = WIDE):
+        self.staging, self.block, self.wide = Staging(docs.sparkSession, "minhash"), block, wide
         kind = docs.schema[doc_id].dataType.simpleString()
         described = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
             _described, f"doc_id {kind}, text string, n_shingles long, cls binary, bands array<long>, sig binary"
@@ -246,10 +300,6 @@ class NearDuplicates:
         self.rows = self.staging.write(described.withColumn("rid", F.monotonically_increasing_id()), "rows")
         self.classes = self.staging.write(self.rows.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id")), "classes")
 
-    def _release(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps."""
-        self.staging.spark._jvm.System.gc()
-
     def buckets(self) -> DataFrame:
         """(key, rid, hub, size) of the buckets that hold more than one class."""
         own = self.rows.select("rid", "bands").join(self.classes.select("rid").hint("merge"), "rid")
@@ -260,7 +310,6 @@ class NearDuplicates:
         members = self.staging.write(bands.join(live.hint("merge"), "key"), "members")
         self.staging.drop("bands")
         self.staging.drop("live")
-        self._release()
         return members
 
     def pruned(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -294,11 +343,16 @@ class NearDuplicates:
         own = members.where("size > 2").select("key", "rid").join(comps.select(F.col("v").alias("rid"), "comp"), "rid", "left")
         own = self.staging.write(own.withColumn("comp", F.coalesce("comp", "rid")), f"{name}_members")
         mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-        rows = own.join(self.staging.write(mixed, f"{name}_mixed"), "key").join(self.known, "rid")
+        own = own.join(self.staging.write(mixed, f"{name}_mixed"), "key")
         blocks = F.ceil(F.col("size") / self.block).cast("int")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("rid", "key"), blocks).cast("int"))
-        rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("key", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("other"), "rid", "comp", "block", "bands", "sig", "text")
+        own = own.withColumn("block", F.pmod(F.xxhash64("rid", "key"), blocks).cast("int"))
+        screen = own.withColumn("wide", F.floor(F.col("block") / self.wide).cast("int")).withColumn("partner", F.explode(F.sequence(F.lit(0), F.floor((blocks - 1) / self.wide).cast("int"))))
+        screen = screen.join(self.known.select("rid", "bands", "sig"), "rid")
+        screen = screen.select("key", F.least("wide", "partner").alias("wide_one"), F.greatest("wide", "partner").alias("wide_other"), "rid", "comp", "block", "wide", "bands", "sig")
+        screen = screen.repartition("key", "wide_one", "wide_other").sortWithinPartitions("key", "wide_one", "wide_other")
+        alive = self.staging.write(screen.mapInArrow(_screen_blocks, "key long, one int, other int, rid long, comp long").distinct(), f"{name}_alive")
+        rows = alive.join(own.select("key", "rid", "block"), ["key", "rid"]).join(self.known, "rid")
+        rows = rows.select("key", "one", "other", "rid", "comp", "block", "bands", "sig", "text")
         rows = rows.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other")
         return self.staging.write(rows.mapInArrow(_compare_blocks, "a long, b long"), name)
 
@@ -308,7 +362,6 @@ class NearDuplicates:
         # the one shuffle of texts: rows in no bucket with another are done; merged whatever the size, as sizes differ
         ids = members.select("rid").distinct().hint("merge")
         self.known = self.staging.write(self.rows.select("rid", "sig", "bands", "text").join(ids, "rid"), "known")
-        self._release()
         pairs = members.where("rid <> hub").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
         pairs = self.pruned(pairs, "pairs")
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
@@ -316,7 +369,6 @@ class NearDuplicates:
         rest = self.between(pairs, comps).select("a", "b")
         comps = self.joined(comps, self.verified(rest, "links_2"), "comps_2")
         comps = self.joined(comps, self.unsettled(members, comps, "links_3"), "comps_3")
-        self._release()
         return comps
 
     def groups(self) -> DataFrame:
@@ -327,7 +379,6 @@ class NearDuplicates:
         least = self.staging.write(named.groupBy("comp").agg(F.min("least_id").alias("component_id")), "least")
         ids = self.staging.write(named.join(least, "comp").select("cls", "component_id"), "ids")
         self.staging.keep("rows", "ids")
-        self._release()
         out = self.rows.select("doc_id", "text", "n_shingles", "cls").join(ids, "cls", "left")
         group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         out = out.withColumn("component_id", group)

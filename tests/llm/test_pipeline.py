@@ -82,7 +82,7 @@ def test_near_duplicates_against_all_pairs(spark):
                 own[rng.randrange(len(own))] = sentence(rng, 1)
             texts.append(" ".join(own))
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(3, "a b", "x")], "doc_id long, text string, kept string")
-    found = minhash.NearDuplicates(docs, block=4).groups().collect()
+    found = minhash.NearDuplicates(docs, block=4, wide=2).groups().collect()
     group, sizes = jaccard_groups(texts)
     assert len(found) == len(texts) + 1
     for r in found:
@@ -104,6 +104,35 @@ def test_a_bucket_of_many_is_compared_in_blocks():
     assert all(minhash.linked(sets[a], sets[b]) for a, b in links) and 12 not in {x for pair in links for x in pair}
 
 
+def test_a_bucket_of_unlike_members_moves_no_texts(spark):
+    """20,000 members that share one band's minima and nothing else, and a few that are like one another."""
+    import numpy as np
+    import pandas as pd
+
+    rng, n, key = np.random.default_rng(5), 20_000, 77
+    sig, bands = rng.integers(0, 256, (n, minhash.LANES), dtype=np.uint8), rng.integers(-(2**62), 2**62, (n, minhash.BANDS))
+    texts, planted = np.full(n, "unlike", object), {}
+    for group in range(5):
+        words = [f"w{group}x{k}" for k in range(60)]
+        for k, place in enumerate(rng.choice(n, 3, replace=False)):
+            text = " ".join([*words[:59], f"own{k}"])
+            low = minhash.signature(minhash.shingle_sets([text.encode()])[0])
+            sig[place], bands[place], texts[place] = (low >> np.uint32(24) ^ low).astype(np.uint8), minhash.band_keys(low), text
+            planted[int(place)] = group
+    bands[:, 0] = key  # so the band in question is the first that any two share
+    own = object.__new__(minhash.NearDuplicates)
+    own.staging, own.block, own.wide = minhash.Staging(spark, "minhash"), minhash.BLOCK, minhash.WIDE
+    frame = pd.DataFrame({"rid": np.arange(n), "sig": [x.tobytes() for x in sig], "bands": list(bands), "text": texts})
+    own.known = own.staging.write(spark.createDataFrame(frame, "rid long, sig binary, bands array<long>, text string"), "known")
+    members = own.known.select(F.lit(key).cast("long").alias("key"), "rid", F.lit(0).cast("long").alias("hub"), F.lit(n).cast("long").alias("size"))
+    comps = spark.createDataFrame([], "v long, comp long")
+    links = own.unsettled(members, comps, "links").collect()
+    assert all(planted[a] == planted[b] for a, b in links) and {x for pair in links for x in pair} == planted.keys()
+    alive = spark.read.parquet(f"{own.staging.root}/links_alive")
+    assert {r["rid"] for r in alive.select("rid").collect()} == planted.keys()
+    own.staging.drop()
+
+
 def test_least_matches_is_the_posterior_bound():
     import numpy as np
 
