@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Lets Spark delete a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,8 +28,11 @@ def local_session(cores: int = 8, **more: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir where it is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that all machines share: spark.checkpoint.dir, without which only a session on one machine can do."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
+    if not named and master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 class Staging:
@@ -44,7 +49,12 @@ class Staging:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")  # what is written is read from its files, so no shuffle is used again
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.read(df, name)
 
     def read(self, df: DataFrame, name: str) -> DataFrame:
@@ -57,6 +67,8 @@ class Staging:
             self.drop(name)
 
     def drop(self, name: str = "") -> None:
+        if not hasattr(self.spark, "_jvm"):  # a remote session has no file system at hand: the folder's owner clears it
+            return
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(conf).delete(path, True)
