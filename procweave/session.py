@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,12 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Staging:
     """Tables written to the shared folder, so that later steps don't depend on
     executors that may be lost, and that are dropped when no longer needed."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/procweave-{label}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, label: str, root: str | None = None):
+        self.spark, self.root = spark, root or f"{shared_dir(spark)}/procweave-{label}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -49,12 +64,8 @@ class Staging:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")  # what is written is read from its files, so no shuffle is used again
-        try:
+        with settings(self.spark, {CLEANUP: "true"}):  # what is written is read from its files, so no shuffle is used again
             writer.parquet(path)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
         return self.read(df, name)
 
     def read(self, df: DataFrame, name: str) -> DataFrame:
@@ -72,7 +83,7 @@ class Staging:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(conf).delete(path, True)
-        self.names -= {name} if name else self.names
+        self.names -= {name} if name else set(self.names)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
