@@ -1,12 +1,18 @@
 """Lines that many documents share, found with levelled sorted runs of line hashes.
 
 A line's key is the line without the white space at its ends and with A-Z lower-cased; its hash
-is the MD5 of the key, 16 bytes. LineRuns keeps, in the shared folder, sorted runs of (hash,
-documents that have it). A new batch of documents is counted by hash, its counts are anti-joined
-with the hashes that the runs have settled already (those in min_docs documents, for which more
-counts change nothing), and the rest becomes a run of its own at level 0. When a level holds
-`fanout` runs, they are merged into one run of the next level, so a hash is in as many runs as
-there are levels, about log(batches).
+is the MD5 of the key, 16 bytes. LineRuns keeps, in a shared folder, runs of (hash, documents of its
+batches that have it, documents in all up to then), each bucketed by hash and sorted inside its
+buckets. A new batch of documents is counted by hash into the same buckets and merge-joined with the
+runs, which are read and not shuffled: hashes that the runs have settled already (those in min_docs
+documents, for which more counts change nothing) are left out, the others get what was counted
+before, and become a run of their own at level 0. When a level holds `fanout` runs, they are merged
+bucket by bucket into one run of the next level, so a hash is in as many runs as there are levels,
+about log(batches). The batch that brings a hash to min_docs is the last to write it, so the
+frequent hashes are a filter over the runs.
+
+A manifest in the folder lists the runs after each batch, so a later job goes on where one ended; a
+run that its manifest doesn't list, as its job was lost, doesn't count.
 
 Null or empty texts are one empty line, whose key is too short to be dropped. Each row counts as a
 document, repeated rows too. An empty table gives no runs and no rows.
@@ -15,13 +21,16 @@ document, repeated rows too. An empty table gives no runs and no rows.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procweave.session import Staging
+from procweave.llm.text import slices
+from procweave.session import CLEANUP, Staging, settings
 
 #: White space that is stripped from lines; a fixed value of the key.
 STRIP = b" \t\n\x0b\x0c\r"
@@ -39,7 +48,7 @@ def hashed_lines(docs: DataFrame, text: str, min_chars: int = 1) -> DataFrame:
     """(text_hash, line_hash): each row's distinct line hashes."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             texts, keys = [], []
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 if t:
@@ -51,61 +60,116 @@ def hashed_lines(docs: DataFrame, text: str, min_chars: int = 1) -> DataFrame:
     return docs.select(text).mapInArrow(lines, "text_hash binary, line_hash binary")
 
 
-class LineRuns:
-    """Sorted runs of line hashes by level, with the number of documents that have each."""
-
-    def __init__(self, staging: Staging, min_docs: int = 10, fanout: int = 3):
-        self.staging, self.min_docs, self.fanout = staging, min_docs, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
-        self.made = 0
-
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for _, run in level]
-
-    def _write(self, counts: DataFrame) -> tuple[str, DataFrame]:
-        self.made += 1
-        name = f"run_{self.made}"
-        return name, self.staging.write(counts.sortWithinPartitions("line_hash"), name)
+#: Rows of hashes for each bucket, and the most buckets: beyond, buckets grow, as merges need no memory.
+BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 20_000
 
-    def _total(self, runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
-        return every.groupBy("line_hash").agg(F.sum("n_docs").alias("n_docs"))
 
-    def frequent(self) -> DataFrame | None:
-        """Hashes found in min_docs documents or more; None before the first batch."""
-        return self._total(self.runs()).where(F.col("n_docs") >= self.min_docs).select("line_hash") if self.runs() else None
+class LineRuns:
+    """The runs in a folder: those that its manifest lists, or none yet, in buckets of a number that stays."""
+
+    def __init__(self, spark: SparkSession, folder: str, min_docs: int = 10, fanout: int = 2, buckets: int = 16):
+        self.spark, self.folder, self.min_docs, self.fanout, self.buckets = spark, folder.rstrip("/"), min_docs, fanout, buckets
+        self.version, self.levels = 0, [[]]
+        try:
+            every = spark.read.parquet(f"{self.folder}/manifest")
+            listed = every.join(every.agg(F.max("version").alias("version")), "version").orderBy("level", "place").collect()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            listed = []
+        for r in listed:
+            if (r["min_docs"], r["fanout"]) != (min_docs, fanout):
+                raise ValueError(f"these runs were counted with min_docs={r['min_docs']} and fanout={r['fanout']}")
+            self.version, self.buckets = r["version"], r["buckets"]
+            while len(self.levels) <= r["level"]:
+                self.levels.append([])
+            self.levels[r["level"]].append(r["run"])
+        for name in self.names():
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (line_hash BINARY, n_docs BIGINT, total BIGINT) USING parquet CLUSTERED BY (line_hash) SORTED BY (line_hash) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def _settings(self):
+        """As many partitions as buckets, and runs known to be sorted: neither they nor a batch move twice."""
+        return settings(self.spark, {
+            "spark.sql.shuffle.partitions": str(self.buckets), "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false", CLEANUP: "true",
+        })
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"pw_lines_{uuid.uuid4().hex}"
+        with self._settings():
+            rows.write.bucketBy(self.buckets, "line_hash").sortBy("line_hash").format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
+
+    def _list(self) -> None:
+        """Writes the manifest's next version, whole or not at all."""
+        self.version += 1
+        rows = [(self.version, level, place, name, self.buckets, self.min_docs, self.fanout) for level, own in enumerate(self.levels) for place, name in enumerate(own)]
+        listed = self.spark.createDataFrame(rows, "version int, level int, place int, run string, buckets int, min_docs long, fanout int")
+        listed.coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+
+    def frequent(self) -> DataFrame:
+        """Hashes found in min_docs documents or more, each once."""
+        found = self.spark.createDataFrame([], "line_hash binary")
+        for name in self.names():
+            found = found.unionByName(self.spark.table(name).where(F.col("total") >= self.min_docs).select("line_hash"))
+        return found
+
+    def counted(self, hashes: DataFrame) -> DataFrame:
+        """(line_hash, n_docs, total) of a batch, without the hashes that the runs have settled."""
+        counts = hashes.groupBy("line_hash").agg(F.count("*").alias("n_docs")).withColumn("before", F.lit(0).cast("long"))
+        for name in self.names():
+            run = self.spark.table(name).select("line_hash", F.col("n_docs").alias("more")).hint("merge")
+            counts = counts.join(run, "line_hash", "left").select("line_hash", "n_docs", (F.col("before") + F.coalesce("more", F.lit(0))).alias("before"))
+        return counts.where(F.col("before") < self.min_docs).select("line_hash", "n_docs", (F.col("before") + F.col("n_docs")).alias("total"))
+
+    def merged(self, names: list[str]) -> DataFrame:
+        """Runs as one. Two are merged bucket by bucket; Spark moves the outcome again to merge it with a third."""
+        every = self.spark.table(names[0])
+        for name in names[1:]:
+            more = self.spark.table(name).select("line_hash", F.col("n_docs").alias("more"), F.col("total").alias("later")).hint("merge")
+            zero = F.lit(0).cast("long")
+            every = every.join(more, "line_hash", "full").select("line_hash", (F.coalesce("n_docs", zero) + F.coalesce("more", zero)).alias("n_docs"), F.greatest("total", "later").alias("total"))
+        return every
 
     def add(self, hashes: DataFrame) -> None:
         """A batch of (line_hash), a row for each document that has it."""
-        counts = hashes.groupBy("line_hash").agg(F.count("*").alias("n_docs"))
-        settled = self.frequent()
-        if settled is not None:
-            counts = counts.join(settled, "line_hash", "left_anti")
-        self.levels[0].append(self._write(counts))
+        self.levels[0].append(self._write(self.counted(hashes)))
+        self._list()
         self.compact()
 
     def compact(self) -> None:
         """Merges the runs of every level that is full into one of the next."""
-        level = 0
-        while level < len(self.levels):
-            if len(self.levels[level]) >= self.fanout:
-                merged = self._write(self._total([run for _, run in self.levels[level]]))
-                for name, _ in self.levels[level]:
-                    self.staging.drop(name)
-                self.levels[level] = []
+        for level in range(len(self.levels) + 1):
+            if level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+                old, self.levels[level] = self.levels[level], []
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[level + 1].append(merged)
-            level += 1
+                self.levels[level + 1].append(self._write(self.merged(old)))
+                self._list()
+                self._forget(old)
+
+    def _forget(self, names: list[str]) -> None:
+        staging = Staging(self.spark, "lines", self.folder)
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            staging.drop(name)
+
+    def close(self, keep: bool = True) -> None:
+        """Takes the runs out of the catalog; the folder keeps them for a later job, unless told not to."""
+        for name in self.names():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if not keep:
+            Staging(self.spark, "lines", self.folder).drop()
 
 
 def _drop_lines(min_chars: int, row: str):
     schema = {"n_lines": pa.int64(), "n_dropped": pa.int64()}
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "__pw_text"):
             texts, total, dropped = [], [], []
             hits = batch.column("__pw_hits").to_pylist()
             for t, hit in zip(batch.column("__pw_text").cast(pa.binary()).to_pylist(), hits, strict=True):
@@ -123,18 +187,23 @@ def _drop_lines(min_chars: int, row: str):
     return drop
 
 
-def drop_shared_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
+def drop_shared_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, folder: str | None = None) -> DataFrame:
     """(row, kept_text, n_lines, n_dropped) for each row of docs; row is a struct of its other columns.
 
     Lines whose key has at least min_chars code points and is in min_docs rows or more are dropped
-    everywhere. docs is taken in `batches` batches by text hash, as if they came one after another."""
+    everywhere. docs is taken in `batches` batches of its partitions, as if they came one after another.
+    folder: where the runs of earlier jobs are and those of this one stay, whose documents count too; the
+    lines of these rows alone if there is none."""
     spark = docs.sparkSession
     staging = Staging(spark, "lines")
-    hashed = staging.write(hashed_lines(docs, text, min_chars), "hashed")
-    runs = LineRuns(staging, min_docs, fanout)
+    hashed = hashed_lines(docs, text, min_chars).withColumn("batch", F.spark_partition_id() % batches)
+    hashed = staging.write(hashed, "hashed", ["batch"])
+    buckets = min(MOST_BUCKETS, max(1, -(-hashed.count() // BUCKET_ROWS)))
+    runs = LineRuns(spark, folder or f"{staging.root}/runs", min_docs, fanout, buckets)
     for k in range(batches):
-        runs.add(hashed.where(F.pmod(F.xxhash64("text_hash"), F.lit(batches)) == k).select("line_hash"))
+        runs.add(hashed.where(F.col("batch") == k).select("line_hash"))
     frequent = staging.write(runs.frequent(), "frequent")
+    runs.close(keep=folder is not None)
     hits = hashed.join(frequent, "line_hash", "left_semi").groupBy("text_hash").agg(F.collect_set("line_hash").alias("__pw_hits"))
     hits = staging.write(hits, "hits")
     staging.keep("hits")

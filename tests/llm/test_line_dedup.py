@@ -2,10 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
-from pyspark.sql import functions as F
+import pytest
 
 from procweave.llm import line_dedup
-from procweave.session import Staging
+from procweave.session import Staging, settings
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -39,14 +39,52 @@ def test_empty_table(spark):
     assert line_dedup.without_shared_lines(docs).count() == 0
 
 
-def test_runs_are_merged_by_level(spark):
-    runs = line_dedup.LineRuns(Staging(spark, "test"), min_docs=3, fanout=2)
-    hashes = [hashlib.md5(bytes([x])).digest() for x in (1, 1, 2, 3)]
-    for _ in range(5):
-        runs.add(spark.createDataFrame([(h,) for h in hashes], "line_hash binary"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    found = {bytes(r[0]) for r in runs.frequent().collect()}
-    assert found == set(hashes)
-    total = {bytes(r[0]): r[1] for r in runs._total(runs.runs()).collect()}
-    assert total[hashes[2]] == 3  # settled after three batches, so later ones add nothing
-    assert runs.runs()[0].agg(F.count("*")).first()[0] < 3
+def hashes_of(*numbers):
+    return [(hashlib.md5(bytes([x])).digest(),) for x in numbers]
+
+
+def operators(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_are_merged_by_level_and_reopened(spark):
+    folder = Staging(spark, "test").root
+    batch = hashes_of(1, 1, 2, 3)
+    for k in range(5):  # each batch by a job of its own
+        runs = line_dedup.LineRuns(spark, folder, min_docs=3, fanout=2, buckets=3)
+        assert runs.version == (0, 1, 3, 4, 7)[k]
+        runs.add(spark.createDataFrame(batch, "line_hash binary"))
+        runs.close()
+    runs = line_dedup.LineRuns(spark, folder, min_docs=3, fanout=2, buckets=99)
+    assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.buckets == 3
+    found = [bytes(r[0]) for r in runs.frequent().collect()]
+    assert sorted(found) == sorted({h for h, in batch})
+    total = {bytes(r["line_hash"]): (r["n_docs"], r["total"]) for r in spark.table(runs.names()[1]).collect()}
+    assert total[batch[2][0]] == (3, 3)  # settled after three batches, so later ones add nothing
+    assert spark.table(runs.names()[0]).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.LineRuns(spark, folder, min_docs=4, fanout=2)
+    runs.close(keep=False)
+
+
+def test_old_runs_are_merged_where_they_are(spark):
+    """The one exchange of a batch is that of its own counts; compaction has none, and runs aren't sorted again."""
+    runs = line_dedup.LineRuns(spark, Staging(spark, "test").root, min_docs=30, fanout=4, buckets=3)
+    for k in range(3):
+        runs.add(spark.createDataFrame(hashes_of(*range(k, 100 + k)), "line_hash binary"))
+    with runs._settings(), settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        plan = operators(runs.counted(spark.createDataFrame(hashes_of(*range(50)), "line_hash binary")))
+        assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+        assert "Exchange" not in operators(runs.merged(runs.names()[1:]))
+    total = {r["total"] for r in runs.merged(runs.names()).collect()}
+    assert total == {1, 2, 3}
+    runs.close(keep=False)
+
+
+def test_lines_of_earlier_jobs_count(spark):
+    folder = Staging(spark, "test").root
+    first = spark.createDataFrame([(i, f"shared\nown {i}") for i in range(6)], "doc_id long, text string")
+    later = spark.createDataFrame([(i, f"shared\nown {i}") for i in range(10, 16)], "doc_id long, text string")
+    dropped = lambda docs, **more: {r["n_dropped"] for r in line_dedup.drop_shared_lines(docs, **more).collect()}
+    assert dropped(first, folder=folder, batches=2) == {0} and dropped(later) == {0}
+    assert dropped(later, folder=folder, batches=2) == {1}
