@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procweave.session import small
+
 HOUR_US, WEEK_SLOTS = 3_600_000_000, 168
+#: About what a calendar's arrays take.
+ROW_BYTES = 4096
 PREFIX_SCHEMA = "resource string, open array<boolean>, closed array<int>, opened array<int>, open_slots array<int>"
 
 
@@ -26,8 +30,9 @@ def prefixes(slots: list[bool]) -> tuple[list[bool], list[int], list[int], list[
 
 
 def calendar_frame(spark: SparkSession, calendars: dict[str, list[bool]]) -> DataFrame:
-    """A row of prefix arrays for each resource; a few hundred at most, materialized for broadcasting."""
-    return spark.createDataFrame([(r, *prefixes(s)) for r, s in sorted(calendars.items())], PREFIX_SCHEMA)
+    """A row of prefix arrays for each resource, marked for broadcasting if there are few enough."""
+    rows = [(r, *prefixes(s)) for r, s in sorted(calendars.items())]
+    return small(spark.createDataFrame(rows, PREFIX_SCHEMA), len(rows), ROW_BYTES)
 
 
 def slot(ts: Column) -> Column:

@@ -16,18 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procweave.operators.features import history, workload
-from procweave.sources.event_log import attributes
+from procweave.sources.event_log import CASE_ORDER, attributes
 from procweave.sources.petri_net import Net
 
-MOVE, SILENT, LIMIT = 10_000, 1, 2_000_000
+MOVE, SILENT = 10_000, 1
 
 STEPS = "array<struct<step_idx:int,transition:string,label:string,log_idx:int,prev_enabled:array<string>,since:int>>"
 
 
-def align(net: Net, sequence: list[str], limit: int = LIMIT) -> tuple[int, list[tuple[str | None, int | None]]]:
+def align(net: Net, sequence: list[str], limit: int | None = None) -> tuple[int, list[tuple[str | None, int | None]]]:
     """(cost, moves): moves are (transition or None, place in the sequence or None), in order.
 
-    Raises ValueError if the final marking can't be reached, or after `limit` expanded states."""
+    The search is exact and goes on until it ends: it keeps the states that it has expanded, of which there
+    are at most the net's markings by the sequence's length. Raises ValueError if the final marking can't be
+    reached, or, where a caller gives a limit, after that many states."""
     known = set(net.labels)
     unknown = [0] * (len(sequence) + 1)
     for k in range(len(sequence) - 1, -1, -1):
@@ -48,7 +50,7 @@ def align(net: Net, sequence: list[str], limit: int = LIMIT) -> tuple[int, list[
                 moves.append(came[state][2])
                 state = came[state][1]
             return cost, moves[::-1]
-        if len(done) > limit:
+        if limit and len(done) > limit:
             raise ValueError(f"no alignment within {limit} states")
         marking, at = dict(state[0]), state[1]
         cost = came[state][0]
@@ -93,37 +95,44 @@ def cases(log: DataFrame) -> DataFrame:
     event = F.struct("event_idx", "activity", "resource", "start_ts", "end_ts")
     grouped = log.groupBy("case_id").agg(
         F.array_sort(F.collect_list(event)).alias("events"), F.min_by("start_ts", "event_idx").alias("first_start"),
-        *[F.min_by(a, "event_idx").alias(a) for a in attributes(log) if a != "event_id"],
+        *[F.min_by(a, "event_idx").alias(a) for a in attributes(log) if a != "event_id"], *[F.min(c).alias(c) for c in log.columns if c == CASE_ORDER],
     )
     grouped = grouped.withColumn("activities", F.transform("events", lambda e: e["activity"]))
     return grouped.withColumn("variant", F.sha2(F.to_json("activities"), 256))
 
 
+def log_variants(log: DataFrame) -> DataFrame:
+    """variants() of a log's cases, of which only the activities are moved."""
+    own = F.array_sort(F.collect_list(F.struct("event_idx", "activity")))
+    grouped = log.groupBy("case_id").agg(F.transform(own, lambda e: e["activity"]).alias("activities"))
+    return variants(grouped.withColumn("variant", F.sha2(F.to_json("activities"), 256)))
+
+
 def variants(by_case: DataFrame) -> DataFrame:
     """(variant, activities, n), by distinct sequence."""
     return by_case.groupBy("variant").agg(F.first("activities").alias("activities"), F.count("*").alias("n"))
 
 
 def aligned(distinct: DataFrame, net: Net) -> DataFrame:
-    """(variant, cost, steps) of each distinct sequence."""
+    """(variant, n, cost, steps) of each distinct sequence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for variant, activities in zip(batch["variant"], batch["activities"], strict=True):
+            for variant, n, activities in zip(batch["variant"], batch["n"], batch["activities"], strict=True):
                 cost, moves = align(net, list(activities))
                 names = ("step_idx", "transition", "label", "log_idx", "prev_enabled", "since")
-                out.append((variant, cost // MOVE, [dict(zip(names, s, strict=True)) for s in replay(net, moves)]))
-            yield pd.DataFrame(out, columns=["variant", "cost", "steps"])
+                out.append((variant, n, cost // MOVE, [dict(zip(names, s, strict=True)) for s in replay(net, moves)]))
+            yield pd.DataFrame(out, columns=["variant", "n", "cost", "steps"])
 
-    return distinct.select("variant", "activities").mapInPandas(run, f"variant string, cost long, steps {STEPS}")
+    return distinct.select("variant", "n", "activities").mapInPandas(run, f"variant string, n long, cost long, steps {STEPS}")
 
 
 def stepped(log: DataFrame, net: Net) -> DataFrame:
     """A row for each step of each case that isn't a log move: the transition, what was enabled, and
     for steps with an event its resource, enabled_ts, start_ts and end_ts. Model moves have none."""
     by_case = cases(log)
-    rows = by_case.join(aligned(variants(by_case), net), "variant")
+    rows = by_case.join(aligned(variants(by_case), net).drop("n"), "variant")
     held = [c for c in by_case.columns if c not in ("variant", "activities", "events")]
     rows = rows.select(*held, "events", F.explode("steps").alias("s"))
     event = F.when(F.col("s.log_idx").isNotNull(), F.col("events")[F.col("s.log_idx")])
@@ -146,8 +155,6 @@ def feature_table(log: DataFrame, net: Net) -> DataFrame:
 
 def transition_frequency(log: DataFrame, net: Net) -> DataFrame:
     """(transition, n) of all transitions, model moves counted, 0 for those that never fire."""
-    by_case = cases(log)
-    per = aligned(variants(by_case), net).join(variants(by_case).select("variant", "n"), "variant")
-    fired = per.select("n", F.explode("steps").alias("s")).groupBy(F.col("s.transition").alias("transition")).agg(F.sum("n").alias("n"))
+    fired = aligned(log_variants(log), net).select("n", F.explode("steps").alias("s")).groupBy(F.col("s.transition").alias("transition")).agg(F.sum("n").alias("n"))
     names = log.sparkSession.createDataFrame([(t,) for t in net.transitions], "transition string")
     return names.join(fired, "transition", "left").select("transition", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

@@ -2,8 +2,9 @@
 
 A key's values are summed up by their number, mean, deviation, least, largest, and the quantiles at
 POINTS evenly spaced probabilities, by a sketch that is exact up to ACCURACY values; so no task holds
-all values of a key. Families: fixed (the mean), norm, expon (from the least value), lognorm (of the
-values less a shift below the least one; an approximation to a three-parameter fit), uniform. The
+all values of a key. Families: fixed (the mean), norm, expon (from the least value), lognorm (three
+parameters: the shift is one of GAPS times the mean's distance from the least value below that, the one
+under which the quantiles are likeliest), uniform. Of values that are all alike only fixed is a fit. The
 distance is the mean absolute difference of the quantiles, the first Wasserstein distance at those
 points; least wins, earlier families first among equals."""
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 FAMILIES = ("fixed", "norm", "expon", "lognorm", "uniform")
 POINTS, ACCURACY = 100, 100_000
 PROBABILITIES = [(i + 0.5) / POINTS for i in range(POINTS)]
+#: How far below the least value the log-normal's shift is tried, in distances of the mean from the least value.
+GAPS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
 NORMAL = [NormalDist().inv_cdf(p) for p in PROBABILITIES]
 
 DIST = "struct<dist:string,params:array<double>,min:double,max:double,mean:double>"
@@ -26,19 +29,30 @@ DIST = "struct<dist:string,params:array<double>,min:double,max:double,mean:doubl
 def summaries(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row a key: n, distinct-or-not, avg, sd (of the population), lo, hi, log moments and quantiles. Null and NaN don't count."""
     x = F.col(value)
-    shifted = F.log(x + 1.0)
-    return rows.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys).agg(
+    base = rows.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(x).alias("avg"), F.stddev_pop(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"),
-        F.avg(shifted).alias("log_avg"), F.stddev_pop(shifted).alias("log_sd"),
         F.percentile_approx(x, PROBABILITIES, ACCURACY).alias("quantiles"),
     )
+    return base.withColumn("log_fit", F.when(F.col("hi") > F.col("lo"), _log_fit()))
+
+
+def _log_fit() -> Column:
+    """A struct (sd, loc, scale) of the log-normal fit, from the columns lo, avg and quantiles."""
+    mean = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b) / POINTS
+    logs = lambda loc: F.transform("quantiles", lambda q: F.log(q - loc))
+    moments = lambda v, loc: F.struct(mean(v).alias("mean"), mean(F.transform(v, lambda y: y * y)).alias("square"), loc.alias("loc"))
+    fits = F.transform(F.transform(F.array(*map(F.lit, GAPS)), lambda g: F.col("lo") - g * (F.col("avg") - F.col("lo"))), lambda loc: F.transform(F.array(logs(loc)), lambda v: moments(v, loc))[0])
+    sd = lambda m: F.sqrt(F.greatest(m["square"] - m["mean"] * m["mean"], F.lit(1e-18)))
+    scored = F.transform(fits, lambda m, k: F.struct((-F.log(sd(m)) - m["mean"]).alias("score"), (-k).alias("k"), sd(m).alias("sd"), m["loc"].alias("loc"), F.exp(m["mean"]).alias("scale")))
+    best = F.array_max(scored)
+    return F.struct(best["sd"].alias("sd"), best["loc"].alias("loc"), best["scale"].alias("scale"))
 
 
 def parameters(family: str) -> Column:
     """The fit's parameters, from the columns of summaries()."""
     made = {
         "fixed": ["avg"], "norm": ["avg", "sd"], "expon": ["lo", "avg - lo"], "uniform": ["lo", "hi - lo"],
-        "lognorm": ["log_sd", "-1.0D", "exp(log_avg)"],
+        "lognorm": ["log_fit.sd", "log_fit.loc", "log_fit.scale"],
     }[family]
     return F.array(*[F.expr(f"cast({e} as double)") for e in made])
 
@@ -108,22 +122,26 @@ def normal_quantile(p: Column) -> Column:
 
 
 def histogram(rows: DataFrame, value: str, bins: int = 30) -> DataFrame:
-    """(bin, lo, hi, n, density) over equal bins between the extremes; the last bin holds the largest value."""
+    """(bin, lo, hi, n, density) over equal bins between the extremes; the last bin holds the largest value.
+
+    Values that are all alike are in one bin without width, whose density is null."""
     ends = rows.agg(F.min(value).alias("a"), F.max(value).alias("b"))
     width = (F.col("b") - F.col("a")) / bins
-    spot = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("a")) / width).cast("int"), F.lit(bins - 1)))
+    spot = F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - F.col("a"), width)).cast("int"), F.lit(bins - 1)), F.lit(0))
     counts = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).select(spot.alias("bin"), "a", width.alias("w")).groupBy("bin", "a", "w").agg(F.count("*").alias("n"))
     total = rows.where(F.col(value).isNotNull()).agg(F.count("*").alias("total"))
     out = counts.crossJoin(F.broadcast(total))  # a row with a row for each bin
-    return out.select("bin", (F.col("a") + F.col("bin") * F.col("w")).alias("lo"), (F.col("a") + (F.col("bin") + 1) * F.col("w")).alias("hi"), "n", (F.col("n") / (F.col("total") * F.col("w"))).alias("density"))
+    return out.select("bin", (F.col("a") + F.col("bin") * F.col("w")).alias("lo"), (F.col("a") + (F.col("bin") + 1) * F.col("w")).alias("hi"), "n", F.try_divide(F.col("n"), F.col("total") * F.col("w")).alias("density"))
 
 
 def density(family: str, params: Column, x: Column) -> Column:
-    """The family's density at x, for drawing over a histogram; null for fixed."""
+    """The family's density at x, for drawing over a histogram; null for fixed and for fits without width."""
+    over = F.try_divide
+    scaled = lambda y: F.log(F.when(y > 0, y))
     return {
         "fixed": lambda: F.lit(None).cast("double"),
-        "norm": lambda: F.exp(-(((x - params[0]) / params[1]) ** 2) / 2) / (params[1] * math.sqrt(2 * math.pi)),
-        "expon": lambda: F.when(x >= params[0], F.exp(-(x - params[0]) / params[1]) / params[1]).otherwise(0.0),
-        "uniform": lambda: F.when(x.between(params[0], params[0] + params[1]), 1 / params[1]).otherwise(0.0),
-        "lognorm": lambda: F.when(x > params[1], F.exp(-((F.log((x - params[1]) / params[2]) / params[0]) ** 2) / 2) / ((x - params[1]) * params[0] * math.sqrt(2 * math.pi))).otherwise(0.0),
+        "norm": lambda: over(F.exp(-(over(x - params[0], params[1]) ** 2) / 2), params[1] * math.sqrt(2 * math.pi)),
+        "expon": lambda: F.when(x >= params[0], over(F.exp(-over(x - params[0], params[1])), params[1])).when(params[1] > 0, 0.0),
+        "uniform": lambda: F.when(x.between(params[0], params[0] + params[1]), over(F.lit(1.0), params[1])).when(params[1] > 0, 0.0),
+        "lognorm": lambda: F.when(x > params[1], over(F.exp(-(over(scaled(over(x - params[1], params[2])), params[0]) ** 2) / 2), (x - params[1]) * params[0] * math.sqrt(2 * math.pi))).when(params[0] > 0, 0.0),
     }[family]()

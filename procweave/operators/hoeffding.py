@@ -1,11 +1,13 @@
 """Trees that learn one row at a time and forget when the data change.
 
 Leaves keep the number, mean and variance of the labels and, for each feature, a histogram of at
-most BINS values with their label sums. Every grace_period rows a leaf looks for the split that takes
+most BINS values with their label sums; where there are more values, the two nearest bins become one
+at their mean (Ben-Haim and Tom-Tov 2010). Every grace_period rows a leaf looks for the split that takes
 most variance away; it splits when the Hoeffding bound, sqrt(ln(1/delta) / 2n), says that the best
 beats the second best (Domingos and Hulten 2000). Inner nodes watch their error with an adaptive
-window (Bifet and Gavalda 2007) and fall back to a fresh leaf when it has grown (2009). Labels 0 and
-1 make classification trees: their variance is half the Gini impurity."""
+window (Bifet and Gavalda 2007). When it has grown, another tree begins to learn the node's rows beside
+it, and takes its place when its error is lower by more than chance, or goes when it is higher (2009).
+Labels 0 and 1 make classification trees: their variance is half the Gini impurity."""
 
 from __future__ import annotations
 
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS, DELTA, TIE = 64, 1e-7, 0.05
+#: Rows before a second tree is compared with the first, and the chance of an error that the comparison allows.
+LEAST_ROWS, CHANCE = 300, 0.05
 
 RULES = "node_id int, feature string, threshold double, yes_id int, no_id int, value double, n long, sd double, dist string, params array<double>, min double, max double"
 
@@ -72,6 +76,8 @@ class Node:
         self.yes: Node | None = None
         self.no: Node | None = None
         self.watch: Adwin | None = None
+        self.other: Node | None = None  # the tree that may take this one's place, and both errors' sums since it began
+        self.errors = [0, 0.0, 0.0]
 
     @property
     def sd(self) -> float:
@@ -84,36 +90,55 @@ class HoeffdingTree:
         self.spread = 1e-9
 
     def learn(self, x: list[float], y: float) -> None:
-        node, path = self.root, []
-        while True:
-            node.n += 1
-            delta = y - node.mean
-            node.mean += delta / node.n
-            node.m2 += delta * (y - node.mean)
-            node.low, node.high = min(node.low, y), max(node.high, y)
-            if node.split is None:
-                break
-            path.append(node)
-            node = node.yes if x[node.split[0]] <= node.split[1] else node.no
-        self.spread = max(self.spread, abs(y - node.mean))
-        error = min(abs(y - node.mean) / self.spread, 1.0)
-        for inner in path:
-            if inner.watch.add(error):
-                fresh = Node(inner.depth)
-                inner.__dict__.update(fresh.__dict__)
-                return
-        if node.depth >= self.max_depth:
-            return
-        if not node.bins:
-            node.bins = [{} for _ in range(self.features)]
-        for own, v in zip(node.bins, x, strict=True):
-            if v not in own and len(own) >= BINS:
-                v = min(own, key=lambda b: abs(b - v))
+        self._learn(self.root, x, y)
+
+    def _learn(self, node: Node, x: list[float], y: float) -> float:
+        """Takes a row in; the error of the node's tree, from 0 to 1."""
+        node.n += 1
+        delta = y - node.mean
+        node.mean += delta / node.n
+        node.m2 += delta * (y - node.mean)
+        node.low, node.high = min(node.low, y), max(node.high, y)
+        if node.split is None:
+            self.spread = max(self.spread, abs(y - node.mean))
+            error = min(abs(y - node.mean) / self.spread, 1.0)
+            if node.depth < self.max_depth:
+                self._count(node, x, y)
+            return error
+        error = self._learn(node.yes if x[node.split[0]] <= node.split[1] else node.no, x, y)
+        grown = node.watch.add(error)
+        if node.other is not None:
+            self._compare(node, error, self._learn(node.other, x, y))
+        elif grown:
+            node.other, node.errors = Node(node.depth), [0, 0.0, 0.0]
+        return error
+
+    def _count(self, leaf: Node, x: list[float], y: float) -> None:
+        if not leaf.bins:
+            leaf.bins = [{} for _ in range(self.features)]
+        for own, v in zip(leaf.bins, x, strict=True):
             cell = own.setdefault(v, [0, 0.0])
             cell[0] += 1
             cell[1] += y
-        if node.n % self.grace == 0:
-            self.try_split(node)
+            if len(own) > BINS:
+                values = sorted(own)
+                _, a, b = min((b - a, a, b) for a, b in zip(values, values[1:], strict=False))
+                (n, s), (m, t) = own.pop(a), own.pop(b)
+                own[(a * n + b * m) / (n + m)] = [n + m, s + t]
+        if leaf.n % self.grace == 0:
+            self.try_split(leaf)
+
+    @staticmethod
+    def _compare(node: Node, error: float, other: float) -> None:
+        node.errors = n, old, new = [node.errors[0] + 1, node.errors[1] + error, node.errors[2] + other]
+        if n < LEAST_ROWS or n % 32:
+            return
+        mean = (old + new) / (2 * n)
+        bound = sqrt(2 * mean * (1 - mean) * log(2 / CHANCE) * 2 / n)
+        if old / n - new / n > bound:
+            node.__dict__.update(node.other.__dict__)
+        elif new / n - old / n > bound:
+            node.other = None
 
     def try_split(self, node: Node) -> None:
         found = []

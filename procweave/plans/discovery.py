@@ -73,8 +73,8 @@ class SimulatorParameters:
         self._attributes(log, staging)
         numeric = [a for a in self.attributes if a not in self.values]
         steps = staging.write(alignment.feature_table(log, self.net), "features")
-        self._control_flow(steps, numeric, max_depth_tree, incremental_discovery, grace_period, model_type)
-        kept = resources.retained(log)
+        self._control_flow(log, steps, staging, numeric, max_depth_tree, incremental_discovery, grace_period, model_type)
+        kept = staging.write(resources.retained(log), "resources")
         self.resources = [r["resource"] for r in kept.collect()]
         if not self.resources:
             raise ValueError("one resource does more than 95 % of the work, so none is retained")
@@ -98,19 +98,20 @@ class SimulatorParameters:
             self.attribute_rows = staging.write(placed.select(F.col("j").cast("long").alias("j"), *self.attributes), "attributes")
             self.attribute_count = self.attribute_rows.count()
 
-    def _control_flow(self, steps: DataFrame, numeric: list[str], depth: int, incremental: bool, grace: int, model_type: str) -> None:
+    def _control_flow(self, log: DataFrame, steps: DataFrame, staging: Staging, numeric: list[str], depth: int, incremental: bool, grace: int, model_type: str) -> None:
         never = {t: 0.0 for t in self.net.transitions}
         if depth < 1:
-            self.weights = never | {r["transition"]: r["weight"] for r in control_flow.frequency_weights(steps).collect()}
+            per_variant = alignment.aligned(alignment.log_variants(log), self.net)
+            self.weights = never | {r["transition"]: r["weight"] for r in control_flow.frequency_weights(per_variant).collect()}
             return
         rows, names = control_flow.training_rows(steps, self.net.labels, numeric, self.values)
         both = rows.groupBy("key").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").select("key")
-        rows = rows.join(both, "key", "left_semi")
+        rows = staging.write(rows.join(both, "key", "left_semi"), "choices")
         if model_type == "LogisticRegression" and not incremental:
             self.weights = {t: None for t in never} | logistic.fit(rows, names)
             return
         if incremental:
-            rules = hoeffding.folded(rows.withColumn("ord", F.col("row_id")), names, depth, grace, classes=True)
+            rules = hoeffding.folded(rows, names, depth, grace, classes=True)
         else:
             rules = trees.fit(rows, names, depth, classes=True)[0]
         # a transition never tried, and one that always or never fired, weighs 1 in rules mode
@@ -139,14 +140,14 @@ class SimulatorParameters:
         rows, names = durations.training_rows(waits, "resource", "minutes", numeric, self.values, history)
         self.waiting = dict.fromkeys(self.resources, zero) | self._rules(rows, names, depth, incremental, grace)
         x = F.array(F.col("hour").cast("double"), F.col("weekday").cast("double"))
-        rows = arrived.select(F.lit("").alias("key"), F.col("case_id").cast("string").alias("row_id"), F.col("minutes").alias("y"), x.alias("x"))
+        rows = arrived.select(F.lit("").alias("key"), F.col("case_id").cast("string").alias("row_id"), F.struct("start_ts", "case_id").alias("ord"), F.col("minutes").alias("y"), x.alias("x"))
         self.arrival = self._rules(rows, ["hour", "weekday"], depth, incremental, grace).get("", zero)
 
     @staticmethod
     def _rules(rows: DataFrame, names: list[str], depth: int, incremental: bool, grace: int) -> dict[str, dict]:
         """Rules by key, whose leaves have a distribution."""
         if incremental:
-            return by_key(hoeffding.folded(rows.withColumn("ord", F.col("row_id")), names, depth, grace).collect())
+            return by_key(hoeffding.folded(rows, names, depth, grace).collect())
         rules, leaves = trees.fit(rows, names, depth)
         fits = distributions.fitted(leaves, ["key", "leaf"], "y").select("key", F.col("leaf").alias("node_id"), "fit.dist", "fit.params", "fit.min", "fit.max")
         return by_key(rules.join(fits, ["key", "node_id"], "left").collect())

@@ -24,6 +24,7 @@ from procweave.operators.distributions import drawn, sample
 from procweave.operators.logistic import probability
 from procweave.operators.windows import running_sum
 from procweave.plans.discovery import SimulatorParameters
+from procweave.session import Staging
 
 EVENTS = "case_no long, activity string, resource string, enabled_us long, start_us long, end_us long"
 
@@ -40,6 +41,18 @@ def is_rules(model: object) -> bool:
     return isinstance(model, dict) and 0 in model
 
 
+def chance(model: object, features: dict[str, float]) -> float:
+    """What a model says of a row of features: rules, a logistic model, the mean of a forest's trees, or a
+    function of the features, such as another library's classifier; 1 where there is no model."""
+    if isinstance(model, dict) and "coefficients" in model:
+        return probability(model, features)
+    if isinstance(model, dict) and "trees" in model:
+        return sum(chance(tree, features) for tree in model["trees"]) / len(model["trees"])
+    if callable(model):
+        return float(model(features))
+    return float(leaf_of(model, features)[1]["value"]) if is_rules(model) else 1.0
+
+
 def whole(x: float | None) -> int:
     return 0 if x is None or isnan(x) else int(x)
 
@@ -87,11 +100,7 @@ class Walker:
 
     def _weight(self, transition: str, features: dict[str, float]) -> float:
         model = self.weights.get(transition)
-        if not self.rules_mode:
-            return float(model or 0.0)
-        if isinstance(model, dict) and "coefficients" in model:
-            return probability(model, features)
-        return float(leaf_of(model, features)[1]["value"]) if is_rules(model) else 1.0
+        return chance(model, features) if self.rules_mode else float(model or 0.0)
 
     def _time(self, case: Case, model: dict, features: dict[str, float]) -> int:
         u = self._u(case)
@@ -211,6 +220,8 @@ class SimulatorEngine:
         if p.attribute_rows is not None:
             j = F.floor(uniform_column(seed, F.col("case_no"), "attributes") * p.attribute_count)
             cases = cases.withColumn("j", F.least(j, F.lit(p.attribute_count - 1))).join(p.attribute_rows, "j").drop("j")
+        if p.attribute_rows is not None or is_rules(p.arrival):
+            cases = Staging(spark, "simulation").write(cases, "cases")  # read twice below
         names, values = p.attributes if p.attribute_rows is not None else [], p.values
         plain = SimulatorParameters(p.net, rules_mode=p.rules_mode, weights=p.weights, resources=p.resources, act_resource=p.act_resource, calendars=p.calendars, execution=p.execution, waiting=p.waiting)
 

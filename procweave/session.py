@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -88,3 +89,12 @@ class Staging:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes up to which a table of known rows is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df, marked for broadcasting if its rows, counted before, take at most BROADCAST_BYTES; else a join shuffles."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

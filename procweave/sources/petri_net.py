@@ -82,11 +82,11 @@ def _text(element: ET.Element | None) -> str | None:
 
 
 def from_pnml(path: str) -> Net:
-    """A PNML file's first net. Arcs without an inscription have weight 1; transitions marked as
+    """A PNML file's first net, with all its pages. Arcs without an inscription have weight 1; transitions marked as
     invisible are silent; without a final marking, the places without outputs are final."""
-    root = ET.parse(path).getroot()
-    every = [e for e in root.iter()]
     kind = lambda e: e.tag.rpartition("}")[2]
+    root = ET.parse(path).getroot()
+    every = [*next((e for e in root.iter() if kind(e) == "net"), root).iter()]
     child = lambda e, name: next((c for c in e if kind(c) == name), None)
     places, initial, names, labels, arcs, final = [], {}, {}, {}, [], {}
     for e in every:

@@ -15,8 +15,9 @@ from procweave.operators.hoeffding import RULES, HoeffdingTree, dumped, loaded
 def learned(rows: DataFrame, names: list[str], max_depth: int = 3, grace_period: int = 1000, classes: bool = False) -> DataFrame:
     """A stream of rules (key, RULES...), a key's current tree whenever it got rows.
 
-    rows: a stream of (key string, ord, y, x). A key's tree is its state; each trigger's rows are
-    learned in the order of ord, so they should come in order from trigger to trigger."""
+    rows: a stream of (key string, ord, y, x). A key's tree is its state, of bounded size; each trigger's rows are
+    learned in the order of ord, so they should come in order from trigger to trigger. A trigger's rows of a
+    key are sorted in memory: the source's limit of rows or files for a trigger bounds them."""
     count, columns = len(names), ["key", *[p.split()[0] for p in RULES.split(", ")]]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
