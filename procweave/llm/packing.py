@@ -1,7 +1,7 @@
 """Packing tokenized documents into sequences of a fixed length.
 
 A document's ids end with an id of its own. Documents longer than a sequence are cut into full
-pieces, each a sequence by itself, and a last piece. The last pieces are dealt at random into
+pieces, each a sequence by itself, and a last piece. The last pieces are dealt by a hash of their row's number into
 groups of a few thousand, whatever the corpus' size; a group is filled best-fit decreasing and
 then improved by local search: pieces are moved, or exchanged one for one or two for one, between
 underfull sequences so that the sum of squared fills grows, until sequences empty.
@@ -12,6 +12,7 @@ repeated rows pieces of their own. Every id is in exactly one piece, whatever a
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -44,13 +45,36 @@ BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in
 GROUP_PIECES = 8000
 
 
+#: What a tokenizer file must declare for its words to be encoded one by one: fixed values of the format.
+BY_WORDS = (
+    ["NFC", "Replace", "Lowercase"], [r"\s+", " "], ["Split", "ByteLevel"],
+    [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "Removed", True, False, False], None, ["BPE", "</w>", None],
+    [("<|startoftext|>", False), ("<|endoftext|>", False)],
+)
+
+
+def parts_of(declared: dict) -> tuple | None:
+    """The parts of a tokenizer file that BY_WORDS is about; None if they are of other kinds."""
+    try:
+        normalizers, splits, model = declared["normalizer"]["normalizers"], declared["pre_tokenizer"]["pretokenizers"], declared["model"]
+        replace, split, level = normalizers[1], splits[0], splits[1]
+        return (
+            [n["type"] for n in normalizers], [replace["pattern"]["Regex"], replace["content"]], [s["type"] for s in splits],
+            [split["pattern"]["Regex"], split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"]], declared["post_processor"],
+            [model["type"], model["end_of_word_suffix"], model["dropout"]], [(t["content"], t["normalized"]) for t in declared["added_tokens"]],
+        )
+    except (KeyError, IndexError, TypeError):
+        return None
+
+
 class WordIds(dict):
     """Ids of words by their bytes, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no match of its pattern crosses it, so a text's ids are
     those of its runs of other characters, one after another. It lower-cases, so A-Z may be
     lowered first, unless the text could come to hold a special token. Words not seen before are
-    encoded once for all texts given: plain ones by the model alone, the rest together."""
+    encoded once for all texts given: plain ones by the model alone, the rest together. Files that declare
+    other parts than BY_WORDS encode whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,6 +82,11 @@ class WordIds(dict):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            declared = json.load(file)
+        self.by_words = parts_of(declared) == BY_WORDS
+        if not self.by_words:
+            return
         self.model = self.tokenizer.model
         self.marks = {m.encode(): array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in (".", ",")}
 
@@ -79,6 +108,8 @@ class WordIds(dict):
             self.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, made, strict=True))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_words:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         found = [list(map(self.get, w)) for w in words]
         lacking = [(w, f, [k for k, x in enumerate(f) if x is None]) for w, f in zip(words, found, strict=True) if None in f]
@@ -232,19 +263,18 @@ class _Search:
         return False
 
 
-def pack(sizes: list[int], capacity: int, passes: int = 30) -> list[list[int]]:
-    """Bins of indexes of sizes, none over capacity. At most `passes` passes of local search."""
+def pack(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins of indexes of sizes, none over capacity. The local search goes on until no step grows the squared fill."""
     bins = best_fit(sizes, capacity)
     least = -(-sum(sizes) // capacity)
     if len(bins) > least:
         search = _Search(sizes, bins, capacity)
-        for _ in range(passes):
+        moved = True
+        while moved and sum(map(bool, bins)) > least:
             moved = False
             for k in sorted(search.open, key=lambda k: search.fill[k]):
                 while k in search.open and search.improve(k):
                     moved = True
-            if not moved or sum(map(bool, bins)) <= least:
-                break
     return [b for b in bins if b]
 
 
@@ -253,7 +283,8 @@ def place(cut: DataFrame, length: int = 2048, group_pieces: int = GROUP_PIECES)
     whole = cut.where(F.col("length") == length).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = cut.where(F.col("length") < length)
     groups = max(1, round(rest.count() / group_pieces))
-    rest = rest.withColumn("__pw_group", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "ids_crc32"), F.lit(groups)).cast("long"))
+    # rows' numbers in the written table, so that repeated rows are dealt out as others are
+    rest = rest.withColumn("__pw_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)

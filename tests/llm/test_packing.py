@@ -69,3 +69,19 @@ def test_packed_of_an_empty_table(spark):
 def test_pieces_keep_their_ids(spark):
     docs = spark.createDataFrame([(1, "Hello there")], "doc_id long, text string")
     assert packing.pieces(docs, PATH).first()["ids"] == [*reference_ids("Hello there"), 0]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = packing.WordIds(path)
+    texts = ["Hello  there\n\tx", "", "It's"]
+    own = Tokenizer.from_file(path)
+    assert packing.WordIds(PATH).by_words and not words.by_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.of([t.encode() for t in texts])] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_repeated_rows_are_dealt_out(spark):
+    cut = spark.range(3000).selectExpr("7L as doc_id", "0 as piece", "0L as start", "1000L as length", "5L as ids_crc32").repartition(3)
+    out = packing.place(cut, 2048, 500).toPandas()
+    assert len(out) == 3000 and (out["sequence_id"] >= 0).all() and (out["sequence_id"] // 2**32).nunique() == 6
+    assert out.groupby("sequence_id")["length"].sum().max() <= 2048
