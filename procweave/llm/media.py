@@ -217,7 +217,8 @@ def parse_avi(data: bytes) -> dict:
         raise ValueError("not an AVI file")
     out: dict = {"microseconds": 0, "comment": "", "frames": []}
     index = movi = None
-    for name, a, b in riff_chunks(data, 12, 8 + struct.unpack_from("<I", data, 4)[0]):
+    first = 8 + struct.unpack_from("<I", data, 4)[0]
+    for name, a, b in riff_chunks(data, 12, first):
         if name == b"LIST" and data[a : a + 4] == b"movi":
             movi = (a, b)
         elif name == b"LIST":
@@ -231,14 +232,33 @@ def parse_avi(data: bytes) -> dict:
     if movi is None:
         raise ValueError("an AVI file without frames")
     if index is None:
-        out["frames"] = [(a, b) for name, a, b in riff_chunks(data, movi[0] + 4, movi[1]) if name[2:] in (b"dc", b"db")]
+        out["frames"] = list(movi_frames(data, *movi))
     else:
         # offsets count from the movi list's name or from the file's start
         origin = movi[0] if not index or data[movi[0] + index[0][2] : movi[0] + index[0][2] + 4] == index[0][0] else 0
         out["frames"] = [(origin + at + 8, origin + at + 8 + size) for name, _, at, size in index if name[2:] in (b"dc", b"db")]
+    # longer files go on in forms of their own, whose frames are found in their lists
+    at = first + first % 2
+    while data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] == b"AVIX":
+        end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+        for name, a, b in riff_chunks(data, at + 12, end):
+            if name == b"LIST" and data[a : a + 4] == b"movi":
+                out["frames"] += movi_frames(data, a, b)
+        at = end + end % 2
+    if any(b > len(data) or a > b for a, b in out["frames"]):
+        raise ValueError("a frame beyond the file's end")
     return out
 
 
+def movi_frames(data: bytes, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The frames of a movi list, or of a group in it."""
+    for name, a, b in riff_chunks(data, start + 4, end):
+        if name == b"LIST" and data[a : a + 4] == b"rec ":
+            yield from movi_frames(data, a, b)
+        elif name[2:] in (b"dc", b"db"):
+            yield a, b
+
+
 def parse_frame(data: bytes, start: int, end: int) -> tuple[int, int, list[tuple[int, int, int]], int, int]:
     """(width, height, Huffman table, scan start, scan end) of a lossless JPEG."""
     if data[start : start + 2] != b"\xff\xd8":
@@ -263,6 +283,8 @@ def parse_frame(data: bytes, start: int, end: int) -> tuple[int, int, list[tuple
                 raise ValueError("a Huffman table and restart intervals of one row are needed")
             if data[body + 3] != 1:
                 raise ValueError("only predictor 1 is decoded")
+            if width * height > 8 * (end - at):
+                raise ValueError("fewer bits than pixels")
             return width, height, table, at + 2 + size, end - 2
         at += 2 + size
     raise ValueError("a frame without a scan")
@@ -364,6 +386,8 @@ def decode_sequential(data: bytes, start: int, end: int) -> np.ndarray:
     wide, high = -(-width // (8 * across)), -(-height // (8 * down))
     for marker in _RESTARTS[1:]:
         scan = scan.replace(marker, _RESTARTS[0])
+    if wide * high > 4 * len(scan) + 8:
+        raise ValueError("fewer bits than blocks")
     streams = [_Bits(x) for x in (scan.split(_RESTARTS[0]) if restart else [scan])]
     first = parts[0]
     blocks = np.zeros((high * first[2], wide * first[1], 64))
@@ -431,6 +455,20 @@ def read_payloads(files: list[bytes]) -> list[tuple[bytes, np.ndarray, int]]:
     return out
 
 
+#: What reading a file that isn't right may end in.
+BROKEN = (ValueError, IndexError, KeyError, TypeError, OverflowError, ZeroDivisionError, struct.error)
+
+
+def read_safely(files: list[bytes]) -> list[tuple[tuple[bytes, np.ndarray, int] | None, str | None]]:
+    """read_payloads(), each beside null, or null beside the error of a file that can't be read."""
+    try:
+        return [(x, None) for x in read_payloads(files)]
+    except BROKEN as error:
+        if len(files) == 1:
+            return [(None, f"{type(error).__name__}: {error}")]
+    return [x for f in files for x in read_safely([f])]
+
+
 def shots(frames: np.ndarray) -> list[tuple[int, int]]:
     """(first, last + 1) of each shot."""
     n = len(frames)
@@ -453,23 +491,30 @@ def shots(frames: np.ndarray) -> list[tuple[int, int]]:
 
 
 def clips(media: DataFrame, media_id: str = "media_id", content: str = "content") -> DataFrame:
-    """(media_id, clip, first_frame, last_frame, start_s, end_s) of AVI files; a null file has no clips."""
+    """(media_id, clip, first_frame, last_frame, start_s, end_s, error) of AVI files; a null file has no clips.
+
+    A file that is broken or coded in a way that isn't decoded has one row, all null but the error."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, content):
             at, out = [], []
             data = batch.column(1).to_pylist()
             have = [i for i, x in enumerate(data) if x is not None]
-            for i, (_, frames, micro) in zip(have, read_payloads([data[i] for i in have]), strict=True):
+            for i, (read, error) in zip(have, read_safely([data[i] for i in have]), strict=True):
+                if read is None:
+                    at.append(i)
+                    out.append((None, None, None, None, None, error))
+                    continue
+                _, frames, micro = read
                 for k, (a, b) in enumerate(shots(frames)):
                     at.append(i)
-                    out.append((k, a, b - 1, a * micro / 1e6, b * micro / 1e6))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["media_id", "clip", "first_frame", "last_frame", "start_s", "end_s"])
+                    out.append((k, a, b - 1, a * micro / 1e6, b * micro / 1e6, None))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["media_id", "clip", "first_frame", "last_frame", "start_s", "end_s", "error"])
 
     kind = media.schema[media_id].dataType.simpleString()
-    return media.select(media_id, content).mapInArrow(rows, f"media_id {kind}, clip int, first_frame int, last_frame int, start_s double, end_s double")
+    return media.select(media_id, content).mapInArrow(rows, f"media_id {kind}, clip int, first_frame int, last_frame int, start_s double, end_s double, error string")
 
 
 def stored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -485,20 +530,21 @@ def stored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def described(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text stored as an AVI file and read back: sizes, hashes of what was read, and its shots."""
-    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """Each text stored as an AVI file and read back: sizes, hashes of what was read, its shots and their times."""
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips")
+    span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             files = write_payloads([padded(t) for t in texts])
             out = []
-            for t, f, (payload, frames, _) in zip(texts, files, read_payloads(files), strict=True):
+            for t, f, (payload, frames, micro) in zip(texts, files, read_payloads(files), strict=True):
                 found = shots(frames)
                 feature = f"frames={len(frames)};shots={len(found)};cuts={','.join(str(a) for a, _ in found)}"
-                out.append((len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(f), hashlib.sha256(f).hexdigest(), feature))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                out.append((len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(f), hashlib.sha256(f).hexdigest(), feature, [{"start_s": a * micro / 1e6, "end_s": b * micro / 1e6} for a, b in found]))
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(span))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", *names])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(rows, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(doc_id, text).mapInArrow(rows, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<start_s:double,end_s:double>>")

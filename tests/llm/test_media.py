@@ -165,3 +165,32 @@ def test_sequential_frames_are_decoded():
     data = media.avi([sequential_jpeg([luma], [(1, 1)])] * 3 + [sequential_jpeg([255 - luma // 2], [(1, 1)])] * 2, 48, 32, "")
     _, frames, micro = media.read_payloads([data])[0]
     assert frames.shape == (5, 32, 48) and micro == 40_000 and media.shots(frames) == [(0, 3), (3, 5)]
+
+
+def chunk(name, data):
+    return name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+
+
+def test_broken_files_have_an_error_and_end_nothing(spark):
+    whole = media.write_payloads([b"payload " * 400])[0]
+    broken = [b"", b"RIFF", whole[:-40], whole[:30] + b"\xff" * 40 + whole[70:], whole.replace(b"payload=", b"payload=x"), whole.replace(b"\xff\xc3", b"\xff\xc2"), bytes(200), whole[: len(whole) // 2]]
+    broken += [bytes(b ^ 0x55 if k % 97 == j else b for k, b in enumerate(whole)) for j in range(12)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate([whole, *broken, None, whole])], "media_id long, content binary").coalesce(1)
+    got = media.clips(docs).collect()
+    good = [r for r in got if r["media_id"] in (0, len(broken) + 2)]
+    assert good and all(r["error"] is None and r["clip"] is not None for r in good)
+    by_id = {r["media_id"] for r in got}
+    assert by_id == {*range(len(broken) + 1), len(broken) + 2}
+    assert all((r["error"] is None) == (r["clip"] is not None) for r in got) and {1, 2, 6, 7} <= {r["media_id"] for r in got if r["error"]}
+
+
+def test_frames_in_groups_and_later_forms():
+    luma = np.add.outer(np.arange(16), np.arange(16)).astype(np.uint8) * 5
+    frame = [sequential_jpeg([x], [(1, 1)]) for x in (luma, 255 - luma, luma // 2)]
+    header = chunk(b"LIST", b"hdrl" + chunk(b"avih", struct.pack("<14I", 40_000, *[0] * 13)))
+    movi = b"movi" + chunk(b"LIST", b"rec " + chunk(b"00dc", frame[0]) + chunk(b"01wb", b"xy")) + chunk(b"00dc", frame[1])
+    first = chunk(b"RIFF", b"AVI " + header + chunk(b"LIST", movi))
+    data = first + chunk(b"RIFF", b"AVIX" + chunk(b"LIST", b"movi" + chunk(b"00dc", frame[2])))
+    assert [data[a:b] for a, b in media.parse_avi(data)["frames"]] == frame
+    _, frames, micro = media.read_payloads([data])[0]
+    assert frames.shape == (3, 16, 16) and micro == 40_000
