@@ -8,8 +8,11 @@ boundary is allocated by a rule: `majority`, the section with most of its bytes,
 equals; `start`, the section of its first byte; `proportional`, to each section the share of its
 bytes. Tokens, or shares, outside all sections count in a row whose section is null.
 
-Null and empty texts have no tokens; given sections still get rows, of 0. Sections must not
-overlap; they are cut to the text. Repeated rows give repeated results.
+Null and empty texts have no tokens; given sections still get rows, of 0, and a document that would have
+no row has one without a section, of 0, so totals keep it. Sections are cut to the text. Where sections
+overlap, what they share belongs to the one that starts first, or ends first of those. A section whose
+start or end is null, or that ends before it starts, holds nothing: its row has 0 tokens. Repeated rows
+give repeated results.
 """
 
 from __future__ import annotations
@@ -94,6 +97,19 @@ def lines_of(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def own_parts(given: list[dict | None], size: int) -> list[tuple[str, int | None, int | None, int, int]]:
+    """(name, start, end, own start, own end) of sections, in order; own parts are disjoint, and empty for bad sections."""
+    clip = lambda x: None if x is None else min(max(x, 0), size)
+    spans = [(s["name"], clip(s["start"]), clip(s["end"])) for s in given if s is not None]
+    good = sorted((s for s in spans if s[1] is not None and s[2] is not None and s[1] <= s[2]), key=lambda s: s[1:])
+    out, at = [], 0
+    for name, start, end in good:
+        begin = max(start, at)
+        at = max(begin, end)
+        out.append((name, start, end, begin, at))
+    return out + [(*s, at, at) for s in spans if s[1] is None or s[2] is None or s[1] > s[2]]
+
+
 def byte_places(text: str, raw: bytes, chars: list[int]) -> np.ndarray:
     """The byte where each character place begins."""
     if len(raw) == len(text):
@@ -107,7 +123,8 @@ def section_counts(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc
 
     sections: a column of array<struct<name string, start int, end int>> in characters; None for
     lines, named by number from 0. n_crossing: tokens with bytes in the section and elsewhere. What
-    is outside all sections, if anything, has a row with null section, start, end and n_crossing."""
+    is outside all sections has a row with null section, start, end and n_crossing, if there is anything or the
+    document has no section."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
@@ -117,16 +134,14 @@ def section_counts(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc
             at, out = [], []
             for i, (t, given) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 t = t or ""
-                spans = lines_of(t) if sections is None else sorted(((s["name"], min(max(s["start"], 0), len(t)), min(max(s["end"], 0), len(t))) for s in given or [] if s is not None), key=lambda s: (s[1], s[2]))
-                if any(a[2] > b[1] for a, b in zip(spans, spans[1:], strict=False)) or any(s[1] > s[2] for s in spans):
-                    raise ValueError("sections overlap or end before they start")
+                spans = [(*s, *s[1:]) for s in lines_of(t)] if sections is None else own_parts(given or [], len(t))
                 raw = t.encode()
-                starts, stops = byte_places(t, raw, [s[1] for s in spans]), byte_places(t, raw, [s[2] for s in spans])
+                starts, stops = byte_places(t, raw, [s[3] for s in spans]), byte_places(t, raw, [s[4] for s in spans])
                 counts, crossing, outside = attributed(own.ends(t), starts, stops, rule)
                 for span, n, c in zip(spans, counts.tolist(), crossing.tolist(), strict=True):
                     at.append(i)
-                    out.append((*span, n, c))
-                if outside:
+                    out.append((*span[:3], n, c))
+                if outside or not spans:
                     at.append(i)
                     out.append((None, None, None, outside, None))
             columns = list(zip(*out, strict=True)) or [()] * 5
