@@ -75,8 +75,9 @@ class Model:
             last[:live] = np.where(stay[at, last[:live]], last[:live], source[at]) if t else last[:live]
         return labels
 
-    def spans(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[tuple[str, int]]]]:
-        """Each text's language, score, and runs (language, words) of equal labels."""
+    def spans(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[tuple[str, int, int, int]]]]:
+        """Each text's language, score, and runs (language, words, start, end) of equal labels; a run goes from its
+        first word's first character to its last word's end."""
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         words, scores = self.word_scores(texts)
@@ -95,11 +96,12 @@ class Model:
         share = letters[np.arange(n), best] / np.maximum(total, 1)
         names = [self.languages[b] if t else "und" for b, t in zip(best.tolist(), total.tolist(), strict=True)]
         score = np.where(total > 0, share * (1 + sure) / 2, 0.0).tolist()
-        runs: list[list[tuple[str, int]]] = [[] for _ in texts]
+        runs: list[list[tuple[str, int, int, int]]] = [[] for _ in texts]
         if len(labels):
             cut = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(words.doc, prepend=-1) != 0))
             for a, size in zip(cut.tolist(), np.diff(cut, append=len(labels)).tolist(), strict=True):
-                runs[int(words.doc[a])].append((self.languages[int(labels[a])], size))
+                last = a + size - 1
+                runs[int(words.doc[a])].append((self.languages[int(labels[a])], size, int(words.begin[a]), int(words.begin[last] + words.size[last])))
         return names, score, runs
 
 
@@ -130,7 +132,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         names = sorted(grams)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([grams[n].tobytes() for n in names], pa.binary()), pa.array([scripts[n].tobytes() for n in names], pa.binary())], ["lang", "grams", "scripts"])
 
-    rows = sampled(labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()), key, sample_docs).select(text, lang)
+    # texts are read of the sampled rows' files alone, once
+    rows = sampled(labelled.where(F.col(lang).isNotNull()), key, sample_docs).where(F.col(text).isNotNull()).select(text, lang)
     counted: dict[str, list[np.ndarray]] = {}
     for r in rows.coalesce(2).mapInArrow(count, "lang string, grams binary, scripts binary").collect():
         got = [np.frombuffer(r[c], np.int64) for c in ("grams", "scripts")]
@@ -146,17 +149,17 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
 
 def identified(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) for each row; spans are runs of words, [(lang, words)]."""
+    """(doc_id, lang_pred, score, spans) for each row; spans are runs of words, (lang, words, start, end), places in characters."""
     more = more or {}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as BUCKETS x languages
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__pw_text"):
             names, score, runs = shared.value.spans(batch.column("__pw_text").to_pylist())
-            spans = pa.array([[{"lang": a, "words": b} for a, b in r] for r in runs], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())])))
+            spans = pa.array([[dict(zip(("lang", "words", "start", "end"), x, strict=True)) for x in r] for r in runs], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))
             kept = [c for c in batch.schema.names if c != "__pw_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score, pa.float64()), spans], [*kept, "lang_pred", "score", "spans"])
 
     given = docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(n) for n, c in more.items()], F.col(text).alias("__pw_text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "__pw_text")
-    return given.mapInArrow(label, f"{kinds}, lang_pred string, score double, spans array<struct<lang:string,words:int>>")
+    return given.mapInArrow(label, f"{kinds}, lang_pred string, score double, spans array<struct<lang:string,words:int,start:int,end:int>>")

@@ -1,11 +1,12 @@
 """Words and hashed character n-grams of a batch of texts, as numpy arrays.
 
-A word is a run of letters; it is lower-cased, its digits and marks are dropped, and it is framed
-by a boundary sign on either side, so n-grams tell prefixes and suffixes from the rest. The
+A word is a run of letters and of the combining marks after them, such as vowel signs; it is
+lower-cased, digits and other signs end it, and it is framed by a boundary sign on either side, so n-grams tell prefixes and suffixes from the rest. The
 n-grams' rolling hashes are computed for the whole batch at once."""
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,36 +30,44 @@ SCRIPTS = {
     "georgian": ((0x10A0, 0x10FF),),
     "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
     "kana": ((0x3040, 0x30FF),),
-    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)),
+    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x3FFFF)),
 }
 SCRIPT_NAMES = (*SCRIPTS, "other")
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: its lower case where it is a letter, else 0; its script's number."""
-    lower, script = np.zeros(0x30000, np.uint32), np.full(0x30000, len(SCRIPTS), np.uint8)
-    for c in range(0x30000):
-        if not 0xD800 <= c < 0xE000 and (ch := chr(c)).isalpha():
+#: Code points from here on are no letters: planes without characters, tags, private use.
+PLANES = 0x40000
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: its lower case where it is a letter, itself for a combining mark, else 0; its
+    script's number; whether it is a letter."""
+    lower, script, letter = np.zeros(PLANES, np.uint32), np.full(PLANES, len(SCRIPTS), np.uint8), np.zeros(PLANES, bool)
+    for c in range(PLANES):
+        if 0xD800 <= c < 0xE000:
+            continue
+        if (ch := chr(c)).isalpha():
             low = ch.lower()
-            lower[c] = ord(low) if len(low) == 1 else c
+            lower[c], letter[c] = ord(low) if len(low) == 1 else c, True
+        elif unicodedata.category(ch)[0] == "M":
+            lower[c] = c
     for k, ranges in enumerate(SCRIPTS.values()):
         for a, b in ranges:
             script[a : b + 1] = k
-    return lower, script
+    return lower, script, letter
 
 
 _made: list[np.ndarray] = []
 
 
-def tables() -> tuple[np.ndarray, np.ndarray]:
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not _made:
         _made.extend(_tables())
-    return _made[0], _made[1]
+    return _made[0], _made[1], _made[2]
 
 
 @dataclass
 class Words:
-    """The words of a batch. doc: each word's text. size: its letters. script: of its first letter.
+    """The words of a batch. doc: each word's text. begin: its place there, in characters. size: its letters and
+    marks. script: of its first letter.
 
     framed: code points of all words, a 0 before and after each; start: each word's first 0."""
 
@@ -67,6 +76,7 @@ class Words:
     script: np.ndarray
     framed: np.ndarray
     start: np.ndarray
+    begin: np.ndarray | None = None
 
     def sums(self, orders: tuple[int, ...], weights: np.ndarray) -> np.ndarray:
         """For each word, the sum of weights[bucket] over its n-grams of the given orders, and of the word as a whole."""
@@ -111,12 +121,19 @@ class Words:
 
 
 def words_of(texts: list[str | None]) -> Words:
-    lower, script = tables()
+    lower, script, letter = tables()
     joined = "\n".join(t or "" for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(codes < len(lower), codes, 0)
     letters = lower[codes]
     inside = letters > 0
+    stray = inside & ~letter[codes]  # marks before a run's first letter belong to no word
+    if stray.any():
+        first = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0) == 1)
+        run = np.cumsum(np.diff(inside.astype(np.int8), prepend=0) == 1) - 1
+        at = np.append(np.flatnonzero(letter[codes]), len(codes))
+        begin = at[np.searchsorted(at, first)]
+        inside &= np.arange(len(codes)) >= begin[np.maximum(run, 0)]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     size = last - first
@@ -126,4 +143,4 @@ def words_of(texts: list[str | None]) -> Words:
     framed = np.zeros(int((size + 2).sum()), np.uint32)
     where = np.flatnonzero(inside)
     framed[np.arange(len(where)) + 1 + 2 * np.repeat(np.arange(len(size)), size)] = letters[where]
-    return Words(doc, size, script[codes[first]], framed, start.astype(np.int64))
+    return Words(doc, size, script[codes[first]], framed, start.astype(np.int64), first - np.concatenate([[0], ends])[doc])

@@ -24,7 +24,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out(F.col("doc_id"))))
-    return langid.identified(docs, model, more={"held_out": held_out(F.col("doc_id"))}).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identified(docs, model, more={"held_out": held_out(F.col("doc_id"))}).select("doc_id", "held_out", "lang_pred", "score", "spans")
 
 
 #: The key of the registered query; a deployment gives its own.

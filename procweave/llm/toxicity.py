@@ -31,6 +31,8 @@ from procweave.llm.text import slices
 
 ORDERS, BUCKETS, DIMENSIONS, WINDOW, LEAST_GRAMS = (3, 4, 5, 6), 1 << 17, 8, 8, 60
 SAMPLE_DOCS, CLEAN_WINDOWS, LEAST_WINDOWS, RATE, SEED = 5000, 16, 100_000, 0.5, 11
+#: Bytes of a text beyond which it isn't learned from, so that what the driver holds is bounded.
+TEXT_BYTES = 1 << 16
 #: Passes over the sample: more of a small one.
 EPOCHS, LEAST_TEXTS, MOST_EPOCHS = 12, 60_000, 40
 
@@ -102,6 +104,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
+def gradients(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, bucket: np.ndarray, of: np.ndarray, size: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the weighed log loss of bags, by embeddings (the buckets, their gradients), output weights and bias.
+
+    bucket: the bags' n-grams; of: the bag of each; size: what a bag's sum is divided by."""
+    n, dimensions = len(size), vectors.shape[1]
+    hidden = np.stack([np.bincount(of, weights=vectors[bucket, d], minlength=n) for d in range(dimensions)], axis=1).astype(out.dtype) / size
+    logits = hidden @ out + bias
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(n), labels] -= 1
+    p = (p * weight[:, None]).astype(out.dtype)
+    g_hidden = (p @ out.T) / size
+    u, inverse = np.unique(bucket, return_inverse=True)
+    g_v = np.stack([np.bincount(inverse, weights=g_hidden[of, d], minlength=len(u)) for d in range(dimensions)], axis=1).astype(out.dtype)
+    return u, g_v, hidden.T @ p, p.sum(axis=0)
+
+
 def fit(texts: list[str], toxic: np.ndarray, epochs: int | None = None, rate: float = RATE, seed: int = SEED) -> Model:
     """Embeddings and softmax weights, learned together by Adagrad on windows.
 
@@ -148,15 +167,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int | None = None, rate: fl
             part = rows[k : k + 64]
             b, of = gather(part)
             size = np.maximum(bags.count[part], LEAST_GRAMS).astype(np.float32)[:, None]
-            hidden = np.stack([np.bincount(of, weights=vectors[b, d], minlength=len(part)) for d in range(DIMENSIONS)], axis=1).astype(np.float32) / size
-            logits = hidden @ out + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(part)), labels[part]] -= 1
-            p = (p * weight[part][:, None]).astype(np.float32)
-            g_out, g_bias, g_hidden = hidden.T @ p, p.sum(axis=0), (p @ out.T) / size
-            u, inverse = np.unique(b, return_inverse=True)
-            g_v = np.stack([np.bincount(inverse, weights=g_hidden[of, d], minlength=len(u)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
+            u, g_v, g_out, g_bias = gradients(vectors, out, bias, b, of, size, labels[part], weight[part])
             seen_o += g_out**2
             seen_b += g_bias**2
             seen_v[u] += (g_v**2).mean(axis=1)
@@ -169,10 +180,10 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int | None = None, rate: fl
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from at most sample_docs rows with a text and a 0 or 1. Rows that lack either don't count.
+    """A model from at most sample_docs rows with a text, of up to TEXT_BYTES, and a 0 or 1. Rows that lack either don't count.
 
     Where all labels are alike, every text gets their share, kept off 0 and 1; without labels, as if all were 0."""
-    rows = sampled(labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)), key, sample_docs).select(F.col(key).cast("string").alias("k"), text, label).toPandas()
+    rows = sampled(labelled.where((F.octet_length(text) <= TEXT_BYTES) & F.col(label).isin(0, 1)), key, sample_docs).select(F.col(key).cast("string").alias("k"), text, label).toPandas()
     rows = rows.sort_values(["k", text], kind="stable")
     if rows[label].nunique() < 2:
         share = 0.999 if len(rows) and rows[label].iat[0] == 1 else 0.001
