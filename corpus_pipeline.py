@@ -49,10 +49,12 @@ STAGES = [("quality_rules", quality_rules), ("line_dedup", shared_lines), ("minh
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, staging = spark.read.parquet(f"{sf_dir}/documents.parquet"), Staging(spark, "pipeline")
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages' result. Their tables are in a folder, a new one where none is named; the last stage's input
+    stays there, whose texts, cut by packing.pieces(), are what the sequences hold."""
+    docs, staging = spark.read.parquet(f"{sf_dir}/documents.parquet"), Staging(spark, "pipeline", folder)
     for k, (name, stage) in enumerate(STAGES):
         docs = staging.write(stage(spark, docs, sf_dir), f"{k}_{name}")
-        if k:
+        if 0 < k < len(STAGES) - 1:
             staging.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs

@@ -95,11 +95,13 @@ def from_xes(spark: SparkSession, path: str, offsets: str | None = None) -> Data
     bag = [T.StructField(kind, pair) for kind in XES_KINDS]
     schema = T.StructType([*bag, T.StructField("event", T.ArrayType(T.StructType(bag)))])
     traces = spark.read.format("xml").option("rowTag", "trace").schema(schema).load(path).withColumn(CASE_ORDER, F.monotonically_increasing_id())
-    keys = lambda bag: F.flatten(F.array(*[F.transform(F.coalesce(bag[kind], F.array().cast(pair)), lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x["_key"].alias("key"))) for kind in XES_KINDS]))
+    listed = lambda bag, kind: F.transform(F.coalesce(bag[kind], F.array().cast(pair)), lambda x: F.struct(F.lit(kind).alias("kind"), x["_key"].alias("key")))
+    keys = lambda bag: F.flatten(F.array(*[listed(bag, kind) for kind in XES_KINDS]))
     own = F.struct(*XES_KINDS)
     level = lambda name, found: F.transform(found, lambda x: F.struct(F.lit(name).alias("level"), x["kind"].alias("kind"), x["key"].alias("key")))
     stamps = F.flatten(F.transform("event", lambda e: F.transform(F.coalesce(e["date"], F.array().cast(pair)), lambda x: F.struct(F.lit("offset").alias("level"), F.lit("").alias("kind"), F.regexp_extract(x["_value"], "(Z|[+-][0-9]{2}:?[0-9]{2})?$", 1).alias("key")))))
-    every = F.concat(level("trace", keys(own)), F.coalesce(F.flatten(F.transform("event", lambda e: level("event", keys(e)))), F.array()), F.coalesce(stamps, F.array()))
+    none = F.array().cast("array<struct<level:string,kind:string,key:string>>")
+    every = F.concat(level("trace", keys(own)), F.coalesce(F.flatten(F.transform("event", lambda e: level("event", keys(e)))), none), F.coalesce(stamps, none))
     # a row for each key and offset, not for each event
     found = traces.select(F.explode(every).alias("k")).select("k.*").distinct().orderBy("level", "key", "kind").limit(MOST_ATTRIBUTES + 1).collect()
     if len(found) > MOST_ATTRIBUTES:

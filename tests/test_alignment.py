@@ -24,7 +24,7 @@ def log(spark, *sequences):
 
 
 def weights(spark, model, *sequences):
-    return {r[0]: r[1] for r in control_flow.frequency_weights(alignment.stepped(log(spark, *sequences), model)).collect()}
+    return {r[0]: r[1] for r in control_flow.frequency_weights(alignment.aligned(alignment.log_variants(log(spark, *sequences)), model)).collect()}
 
 
 def test_weights_of_small_nets(spark):

@@ -1,6 +1,7 @@
 """Every registered query with SQL against DuckDB on the same tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from procweave import registry
@@ -18,7 +19,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return list(frame.columns), sorted((tuple(None if v != v else v for v in r) for r in frame.itertuples(index=False)), key=repr)
+    return list(frame.columns), sorted((tuple(None if pd.isna(v) else v for v in r) for r in frame.itertuples(index=False)), key=repr)
 
 
 @pytest.mark.parametrize("name", registry.oracle_sql())
