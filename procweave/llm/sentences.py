@@ -84,7 +84,8 @@ class Pieces(dict):
         import sentencepiece
 
         super().__init__()
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.learned: dict[str, bytes] = {}
         size = model.get_piece_size()
         with open(path, "rb") as file:
             parts = list(fields(file.read()))
@@ -165,6 +166,21 @@ class Pieces(dict):
                 heappush(heap, (-(score + own + forward[start]), start, order, score + own, (own_ids, after)))
         return out
 
+    def learn(self, texts: list[str | None]) -> None:
+        """Merges the units of texts that weren't seen before, all at once, by the library."""
+        if self.kind == UNIGRAM:
+            return
+        fresh = {u for t in texts for u in self.units(t or "") if u not in self}
+        wanted = sorted({s for u in fresh if (s := self.stem(u)).startswith(SPACE) and s not in self})
+        # the library puts a space in front itself
+        self.learned = {u: array("I", ids).tobytes() for u, ids in zip(wanted, self.model.encode([u[1:] for u in wanted], num_threads=1), strict=True)}
+
+    def stem(self, unit: str) -> str:
+        """A unit without last characters that no piece has after the ones before, as with most marks after a word."""
+        while 2 < len(unit) <= CACHED_CHARS and unit[-2:] not in self.pairs:
+            unit = unit[:-1]
+        return unit
+
     def merged(self, unit: str) -> bytes:
         """A unit's ids by a BPE model's merges: the pair that makes the piece of least rank first, the left one of equals."""
         parts, before, after = list(unit), list(range(-1, len(unit) - 1)), list(range(1, len(unit) + 1))
@@ -235,7 +251,7 @@ class Pieces(dict):
         ids.reverse()
         flat = array("I", ids if all(type(x) is int for x in ids) else [i for x in ids for i in (x if type(x) is tuple else (x,))])
         raw = flat.tobytes()
-        own = raw if self.kind == UNIGRAM else self.merged(unit)
+        own = raw if self.kind == UNIGRAM else self.learned.pop(unit, None) or self.merged(unit)
         return self._keep(unit, (raw, best[n], best[n] - second[n], raw if own == raw else own))
 
     def _keep(self, unit: str, found: tuple[bytes, float, float, bytes]) -> tuple[bytes, float, float, bytes]:
@@ -312,6 +328,7 @@ def encoded(docs: DataFrame, model: str, n_best: int = 4, doc_id: str = "doc_id"
         kinds = pa.list_(pa.int32()), pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
         for batch in slices(batches, text):
             texts = batch.column(1).to_pylist()
+            own.learn(texts)
             ids = [np.frombuffer(own.own(t), np.int32) for t in texts]
             found = [[{"score": s, "ids": np.frombuffer(i, np.int32)} for s, i in own.encode(t, n_best)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, kinds[0]), pa.array(found, kinds[1])], ["doc_id", "ids", "segmentations"])
@@ -342,8 +359,9 @@ def described(docs: DataFrame, model: str, n_best: int = 4, doc_id: str = "doc_i
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for batch in slices(batches, text):
-            out = []
-            for t in batch.column(1).to_pylist():
+            out, texts = [], batch.column(1).to_pylist()
+            own.learn(texts)
+            for t in texts:
                 ids, found = own.own(t), own.encode(t, n_best)
                 out.append((len(ids) // 4, zlib.crc32(ids), own.decode(ids) == (t or "").replace(SPACE, " "), [s for s, _ in found], [zlib.crc32(i) for _, i in found], found[0][1] == ids))
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())

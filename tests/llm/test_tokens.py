@@ -99,6 +99,10 @@ def test_own_encoding_is_the_library_s(spark):
     texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").select("text").collect()]
     for t in [*TEXTS, *texts, "def f():\n    return  1\n", "  two  spaces ", "▁ x"]:
         assert array("I", own.own(t)).tolist() == model.encode(t)
+    other = sentences.Pieces(MODEL)
+    other.learn(texts)
+    assert other.learned and all(other.merged(u) == ids for u, ids in [*other.learned.items()][:2000])
+    assert all(other.own(t) == own.own(t) for t in [*texts, *TEXTS])
     words = sorted({w for t in texts for w in t.split()})
     agree = sum(own.encode(w, 1)[0][1] == own.own(w) for w in words) / len(words)
     assert agree > 0.7  # of invented words
@@ -179,6 +183,7 @@ def test_counts_against_brute_force(spark, rule):
             got.setdefault(r["doc_id"], {})[r["section"]] = r["n_tokens"]
         for i, t, spans, _ in rows:
             spans = token_counts.lines_of(t or "") if given is None else spans
+            assert i in got
             expected = brute_counts(t or "", spans, rule)
             assert [got.get(i, {}).get(s[0], 0) for s in spans] == pytest.approx(expected[:-1])
             assert got.get(i, {}).get(None, 0) == pytest.approx(expected[-1])
@@ -191,6 +196,18 @@ def test_lines_tile_the_text():
         assert "".join(t[a:b] for _, a, b in spans) == t and all(a < b for _, a, b in spans)
 
 
-def test_bad_sections_and_rules_are_refused(spark):
+def test_odd_sections_have_results(spark):
+    spans = [("late", 6, 30), ("all", 0, 11), ("back", 9, 2), ("open", None, 4), ("end", 3, None), None, ("none", 5, 5), (None, 2, 4)]
+    docs = spark.createDataFrame([(1, "Hello wide world", spans), (2, None, spans), (3, "ab", None), (4, "", None)], "doc_id long, text string, spans array<struct<name:string,start:int,end:int>>")
+    for rule in token_counts.RULES:
+        got = token_counts.section_counts(docs, RANKS, public_tokenizers.PATTERN, sections="spans", rule=rule).collect()
+        one = {r["section"] or ("name" if r["start"] is not None else "outside"): r["n_tokens"] for r in got if r["doc_id"] == 1}
+        assert one["all"] + one["late"] == 3 and all(one[k] == 0 for k in ("back", "open", "end", "none", "name")) and "outside" not in one
+        two = [r for r in got if r["doc_id"] == 2]
+        assert len(two) == 7 and all(r["n_tokens"] == 0 for r in two)
+        assert [(r["section"], r["n_tokens"]) for r in got if r["doc_id"] > 2] == [(None, 1), (None, 0)]
+
+
+def test_bad_rules_are_refused(spark):
     with pytest.raises(ValueError):
         token_counts.section_counts(spark.createDataFrame([], "doc_id long, text string"), RANKS, "x", rule="none")
