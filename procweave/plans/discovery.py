@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import logging
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procweave.functions.calendars import WEEK_SLOTS, calendar_frame
@@ -16,10 +18,21 @@ from procweave.session import Staging
 from procweave.sources.event_log import attributes, categorical, validated
 from procweave.sources.petri_net import Marking, Net
 
+LOGGER = logging.getLogger("procweave")
 ONE = {"dist": "fixed", "params": [1.0], "min": 1.0, "max": 1.0, "mean": 1.0}
 NOTHING = {"dist": "fixed", "params": [0.0], "min": 0.0, "max": 0.0, "mean": 0.0}
 
 
+#: What is saved of parameters and of their net.
+SAVED = ("rules_mode", "weights", "resources", "act_resource", "calendars", "arrival_calendar", "arrival", "execution", "waiting", "attributes", "values", "attribute_count")
+NET = ("places", "transitions", "inputs", "outputs", "initial", "final")
+
+
+def _numbered(read: dict) -> dict:
+    """JSON has text for the numbers of rules' nodes."""
+    return {int(k): v for k, v in read.items()} if read and all(k.isdecimal() and isinstance(v, dict) and "feature" in v for k, v in read.items()) else read
+
+
 @dataclass
 class SimulatorParameters:
     """What a simulation needs, with defaults: even choices, one resource, always open, a minute for all.
@@ -58,11 +71,30 @@ class SimulatorParameters:
             self.act_resource.setdefault(a, {r: 1 / len(self.resources) for r in self.resources})
             self.execution.setdefault(a, dict(ONE))
 
-    def discover_from_eventlog(self, log: DataFrame, max_depth_tree: int = 3, incremental_discovery: bool = False, grace_period: int = 1000, model_type: str = "DecisionTree") -> SimulatorParameters:
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes everything to a folder, for load(). Choices that are functions can't be written."""
+        if any(map(callable, self.weights.values())):
+            raise ValueError("functions can't be saved")
+        shown = {k: getattr(self, k) for k in SAVED} | {"net": {k: getattr(self.net, k) for k in NET}}
+        spark.createDataFrame([(json.dumps(shown),)], "value string").coalesce(1).write.text(f"{path}/parameters")
+        if self.attribute_rows is not None:
+            self.attribute_rows.write.parquet(f"{path}/attributes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SimulatorParameters:
+        """What save() wrote."""
+        shown = json.loads(spark.read.text(f"{path}/parameters").first()["value"], object_hook=_numbered)
+        made = cls(Net(**shown.pop("net")), **shown)
+        if made.attribute_count:
+            made.attribute_rows = spark.read.parquet(f"{path}/attributes")
+        return made
+
+    def discover_from_eventlog(self, log: DataFrame, max_depth_tree: int = 3, incremental_discovery: bool = False, grace_period: int = 1000, verbose: bool = True, model_type: str = "DecisionTree") -> SimulatorParameters:
         """Learns everything from a log. max_depth_tree < 1: frequencies and one distribution a key.
 
-        model_type: of the transitions' weights in rules mode, DecisionTree or LogisticRegression. What
-        reaches the driver has a row a transition, a resource, a calendar hour or a tree node."""
+        model_type: of the transitions' weights in rules mode, DecisionTree or LogisticRegression. verbose: whether
+        the steps are logged. What reaches the driver has a row a transition, a resource, a calendar hour or a tree node."""
+        say = LOGGER.info if verbose else LOGGER.debug
         if incremental_discovery and max_depth_tree < 1:
             raise ValueError("incremental discovery makes rules: max_depth_tree must be at least 1")
         if model_type not in ("DecisionTree", "LogisticRegression"):
@@ -72,8 +104,11 @@ class SimulatorParameters:
         self.rules_mode = max_depth_tree >= 1
         self._attributes(log, staging)
         numeric = [a for a in self.attributes if a not in self.values]
+        say("aligning cases with the net")
         steps = staging.write(alignment.feature_table(log, self.net), "features")
+        say("learning the control flow")
         self._control_flow(log, steps, staging, numeric, max_depth_tree, incremental_discovery, grace_period, model_type)
+        say("learning resources and calendars")
         kept = staging.write(resources.retained(log), "resources")
         self.resources = [r["resource"] for r in kept.collect()]
         if not self.resources:
@@ -84,6 +119,7 @@ class SimulatorParameters:
         self.calendars = calendars.slots(calendars.resource_calendars(log, kept), ["resource"])
         self.arrival_calendar = calendars.slots(calendars.arrival_calendar(log), [])[""]
         frame = calendar_frame(log.sparkSession, self.calendars)
+        say("learning times")
         self._times(log, steps, frame, numeric, max_depth_tree, incremental_discovery, grace_period)
         self.__post_init__()
         return self
@@ -106,8 +142,10 @@ class SimulatorParameters:
             return
         rows, names = control_flow.training_rows(steps, self.net.labels, numeric, self.values)
         both = rows.groupBy("key").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").select("key")
-        rows = staging.write(rows.join(both, "key", "left_semi"), "choices")
-        if model_type == "LogisticRegression" and not incremental:
+        by_logistic = model_type == "LogisticRegression" and not incremental
+        # a logistic model reads its own rows alone
+        rows = staging.write(rows.join(both, "key", "left_semi"), "choices", ["key"] if by_logistic else None)
+        if by_logistic:
             self.weights = {t: None for t in never} | logistic.fit(rows, names)
             return
         if incremental:

@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -84,6 +85,16 @@ def test_rules_mode_and_coupling(spark, learned):
     assert {r["m"] for r in out} <= {3, 30} and 30 in {r["m"] for r in out}
 
 
+def test_parameters_are_kept_and_loaded(spark, learned, tmp_path):
+    log, labels, p = learned
+    for k, own in enumerate((p, SimulatorParameters(flower(labels)).discover_from_eventlog(log, max_depth_tree=1))):
+        own.save(spark, f"{tmp_path}/{k}")
+        again = SimulatorParameters.load(spark, f"{tmp_path}/{k}")
+        assert SimulatorEngine(again).apply(spark, 25, START, seed=2).collect() == SimulatorEngine(own).apply(spark, 25, START, seed=2).collect()
+    with pytest.raises(ValueError):
+        replace(p, weights=dict(p.weights, click=lambda x: 1.0)).save(spark, f"{tmp_path}/f")
+
+
 def test_logistic_mode(spark, learned):
     log, labels, _ = learned
     p = SimulatorParameters(flower(labels)).discover_from_eventlog(log, max_depth_tree=1, model_type="LogisticRegression")
