@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade of DataFrame expressions.
 
-Each rule rejects a document by a condition on metrics of its text. On a bounded sample of rows each
-rule is timed and its share of rejected documents counted; the rules then run in order of
+Each rule rejects a document by a condition on metrics of its text. A bounded sample of rows tells how
+much a rule's metrics cost, from their words and bytes, and what share of documents it rejects; the rules then run in order of
 rejection per cost, and a document that one has rejected is not measured for the later ones.
 A document is kept if no rule rejects it, so the order changes the work and not the verdict.
 
@@ -12,7 +12,6 @@ named like a verdict are replaced.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,13 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procweave.llm.text import words_of
-from procweave.session import Staging
 
 #: Characters that count as symbols; fixed values of the rule.
 SYMBOLS = "#*$%&|<>"
 
-#: Rows, on average, that cost and selectivity are estimated on, and how often each rule is timed.
-SAMPLE_ROWS, TIMES = 2000, 2
+#: Rows, on average, that cost and selectivity are estimated on.
+SAMPLE_ROWS = 2000
 
 
 @dataclass(frozen=True)
@@ -51,7 +49,13 @@ VERDICT_RULES = (
 )
 RULES = BASE_RULES + VERDICT_RULES
 
-W, V, CAND = "__pw_words", "__pw_windows", "__pw_candidates"
+#: Work of a metric, in rough nanoseconds a word and a byte, as measured once.
+COST = {
+    "n_words": (60, 0), "word_chars": (20, 0), "n_symbols": (0, 12), "n_filled_lines": (0, 3),
+    "n_dup_lines": (0, 4), "n_repeat_words": (800, 0), "n_capitals": (0, 15),
+}
+
+W, V, KEYS, CAND = "__pw_words", "__pw_windows", "__pw_keys", "__pw_candidates"
 
 
 def _symbols(text: Column) -> Column:
@@ -61,13 +65,21 @@ def _symbols(text: Column) -> Column:
     return (F.octet_length(text) - F.octet_length(bare)).cast("long")
 
 
-def _window_keys(words: Column) -> Column:
-    """A sorted array of one long for each 3-word window: its position in the low bits, bits of
-    the words' hash above. Neighbours that agree above may be equal windows."""
+def _hashes(words: Column) -> Column:
+    """A hash of each 3-word window, in order."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+
+
+def _window_keys(words: Column, hashes: Column) -> Column:
+    """A sorted array of one long for each 3-word window: its position in the low bits, bits of its
+    hash above. Neighbours that agree above may be equal windows."""
     mask = _position_mask(words)
-    at = F.sequence(F.lit(0), F.size(words) - 3)
-    key = lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))
-    return F.sort_array(F.transform(at, key))
+    return F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+
+
+def _some_alike(hashes: Column) -> Column:
+    """Whether two windows may be equal: mostly none are, and nothing more is to be done."""
+    return F.size(F.array_distinct(hashes)) < F.size(hashes)
 
 
 def _position_mask(words: Column) -> Column:
@@ -104,8 +116,9 @@ def _filled_lines(text: Column) -> Column:
 
 
 def _repeated(words: Column) -> Column:
-    counted = _let(_window_keys(words), lambda keys: _let(_candidates(words, keys), lambda found: _covered(words, found)))
-    return F.when(F.size(words) >= 3, counted).otherwise(F.lit(0).cast("long"))
+    counted = lambda keys: _let(_candidates(words, keys), lambda found: _covered(words, found))
+    zero = F.lit(0).cast("long")
+    return F.when(F.size(words) >= 3, _let(_hashes(words), lambda h: F.when(_some_alike(h), _let(_window_keys(words, h), counted)).otherwise(zero))).otherwise(zero)
 
 
 #: Each metric from the text, not null, and its words.
@@ -126,41 +139,32 @@ def measured(docs: DataFrame, text: str, metrics: tuple[str, ...]) -> DataFrame:
     docs = docs.withColumn(W, words_of(body))
     made = {m: METRICS[m](body, F.col(W)) for m in metrics}
     if "n_repeat_words" in metrics:  # in columns of their own, which code generation takes up, where no row is spared
-        docs = docs.withColumn(V, F.when(F.size(W) >= 3, _window_keys(F.col(W))))
-        docs = docs.withColumn(CAND, F.when(F.col(V).isNotNull(), _candidates(F.col(W), F.col(V))))
+        docs = docs.withColumn(V, F.when(F.size(W) >= 3, _hashes(F.col(W))))
+        docs = docs.withColumn(KEYS, F.when(_some_alike(F.col(V)), _window_keys(F.col(W), F.col(V))))
+        docs = docs.withColumn(CAND, F.when(F.col(KEYS).isNotNull(), _candidates(F.col(W), F.col(KEYS))))
         made["n_repeat_words"] = F.when(F.col(CAND).isNotNull(), _covered(F.col(W), F.col(CAND))).otherwise(F.lit(0).cast("long"))
     return docs.withColumns(made)
 
 
-def estimates(sample: DataFrame, text: str, rules: tuple[Rule, ...]) -> dict[str, tuple[float, float]]:
-    """(seconds, share rejected) of each rule on all rows of a sample: the least of TIMES runs in one task, less that of a run that measures nothing."""
-    body = F.coalesce(F.col(text), F.lit(""))
-
-    def run(rejects: Column) -> tuple[float, float]:
-        began = time.perf_counter()
-        share = sample.agg(F.avg(rejects.cast("int"))).first()[0]
-        return time.perf_counter() - began, share or 0.0
-
-    condition = lambda rule: _let(words_of(body), lambda words: first_rejecting(body, words, (rule,))).isNotNull()
-    nothing = F.octet_length(body) < 0
-    base = min(run(nothing)[0] for _ in range(TIMES + 1))
-    timed = {r.name: [run(condition(r)) for _ in range(TIMES)] for r in rules}
-    return {name: (max(min(t for t, _ in own) - base, 1e-4), own[0][1]) for name, own in timed.items()}
-
-
 def ordered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost, estimated on about `sample_rows` rows drawn one by one.
 
     The sample only sets the order. With no rows to estimate on, the given order stands."""
     n = docs.count()
-    staging = Staging(docs.sparkSession, "quality")
     sample = docs.select(text).where(F.rand(11) < min(1.0, sample_rows / max(n, 1)))
-    sample = staging.write(sample.coalesce(1), "sample")
-    if sample.isEmpty():
+    names = tuple(dict.fromkeys(m for r in rules for m in r.metrics))
+    row = measured(sample, text, names).agg(
+        F.count("*").alias("n"), F.avg(F.octet_length(text)).alias("bytes"), F.avg(F.size(W)).alias("words"),
+        *[F.avg(r.rejects({m: F.col(m) for m in r.metrics}).cast("int")).alias(r.name) for r in rules],
+    ).first()
+    if not row["n"]:
         return list(rules)
-    found = estimates(sample, text, rules)
-    staging.drop()
-    return sorted(rules, key=lambda r: found[r.name][1] / found[r.name][0], reverse=True)
+
+    def worth(rule: Rule) -> float:
+        cost = sum(a * (row["words"] or 0) + b * (row["bytes"] or 0) for a, b in (COST[m] for m in rule.metrics)) + 1
+        return (row[rule.name] or 0.0) / cost
+
+    return sorted(rules, key=worth, reverse=True)
 
 
 def first_rejecting(text: Column, words: Column, rules: list[Rule] | tuple[Rule, ...], known: dict[str, Column] | None = None) -> Column:
