@@ -477,12 +477,12 @@ def _tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "q_tree_rules",
     f"""with {LOG}, {TREE_ROWS}, {tree_sql("r", ["event_idx", "nation"], 3)}
 select key, cast(node as integer) as node_id, coalesce(case when level<depth then ['event_idx', 'nation'][feature+1] end, '') as feature, coalesce(case when level<depth then threshold end, -1) as threshold,
-  cast(case when level<depth and feature is not null then 2*node+1 else -1 end as integer) as yes_id, cast(case when level<depth and feature is not null then 2*node+2 else -1 end as integer) as no_id, round(value, 6) as value, n from tree""",
+  cast(case when level<depth and feature is not null then 2*node+1 else -1 end as integer) as yes_id, cast(case when level<depth and feature is not null then 2*node+2 else -1 end as integer) as no_id, round(value, 9) as value, n from tree""",
 )
 def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of up to three levels, of the depths that cross-validation chooses; -1 and '' stand for what leaves lack."""
     rules = trees.fit(_tree_rows(spark, sf_dir), ["event_idx", "nation"], 3)[0]
-    return rules.select("key", "node_id", F.coalesce("feature", F.lit("")).alias("feature"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("threshold", "yes_id", "no_id")], F.round("value", 6).alias("value"), "n")
+    return rules.select("key", "node_id", F.coalesce("feature", F.lit("")).alias("feature"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("threshold", "yes_id", "no_id")], F.round("value", 9).alias("value"), "n")
 
 
 @query("q_leaf_fits", f"with {LOG}, {TREE_ROWS}, {tree_sql('r', ['event_idx', 'nation'], 2)}, x as (select key, cast(leaf as integer) as leaf, y as x from leaves), {fit_sql('x', 'key, leaf')} {best_sql('key, leaf')}")
