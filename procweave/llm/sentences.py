@@ -43,6 +43,9 @@ SPACE = "▁"
 PENALTY, OPEN = 10.0, -1e8
 #: Of the law that gives a BPE model's pieces their probabilities.
 ZIPF = 100
+#: Scores are multiples of 1 / GRID, so their sums are exact: rounding would tell equal ways apart, and the search
+#: of a long run of one character would widen to all of them.
+GRID = 1 << 24
 #: Numbers of a model file's fields and of its kinds of pieces and models: fixed values of the format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 PIECE, SCORE, KIND, NORMAL, USER_DEFINED = 1, 2, 3, 1, 4
@@ -102,6 +105,7 @@ class Pieces(dict):
         self.rank = {p: -s for _, p, s in normal}
         total = log(sum(1 / (ZIPF - s) for _, _, s in normal if s > OPEN)) if self.kind == BPE else 0.0
         scored = [(i, p, s if self.kind == UNIGRAM or s <= OPEN else -log(ZIPF - s) - total) for i, p, s in normal]
+        scored = [(i, p, round(s * GRID) / GRID) for i, p, s in scored]
         self.byte_score = min(s for _, _, s in scored if s > OPEN) - PENALTY
         self.pieces = {p: (i, s if s > OPEN else self.byte_score) for i, p, s in scored}
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces) or any("\n" in p for p in self.pieces):
@@ -166,12 +170,12 @@ class Pieces(dict):
                 heappush(heap, (-(score + own + forward[start]), start, order, score + own, (own_ids, after)))
         return out
 
-    def learn(self, texts: list[str | None]) -> None:
+    def learn(self, texts: list[list[str]]) -> None:
         """Merges the units of texts that weren't seen before, all at once, by the library."""
         if self.kind == UNIGRAM:
             return
-        fresh = {u for t in texts for u in self.units(t or "") if u not in self}
-        wanted = sorted({s for u in fresh if (s := self.stem(u)).startswith(SPACE) and s not in self})
+        every = set().union(*texts)
+        wanted = sorted({s for u in every if u not in self and (s := self.stem(u)).startswith(SPACE) and s not in self})
         # the library puts a space in front itself
         self.learned = {u: array("I", ids).tobytes() for u, ids in zip(wanted, self.model.encode([u[1:] for u in wanted], num_threads=1), strict=True)}
 
@@ -269,11 +273,14 @@ class Pieces(dict):
 
     def own(self, text: str | None) -> bytes:
         """The text's own encoding, ids as unsigned 32-bit numbers."""
-        return b"".join([self[u][3] for u in self.units(text or "")])
+        return self.both(self.units(text or ""), 1)[0]
 
     def encode(self, text: str | None, n: int = 1) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text, or all if there are fewer: (score, ids as unsigned 32-bit numbers)."""
-        units = self.units(text or "")
+        return self.both(self.units(text or ""), n)[1]
+
+    def both(self, units: list[str], n: int) -> tuple[bytes, list[tuple[float, bytes]]]:
+        """The own encoding and the n best segmentations of a text's units."""
         found = [self[u] for u in units]
         ids = [f[0] for f in found]
         score = sum([f[1] for f in found])
@@ -299,7 +306,7 @@ class Pieces(dict):
                 for k, o in changes:
                     other[k] = o
                 out.append((score - cost, b"".join(other)))
-        return out
+        return b"".join([f[3] for f in found]), out
 
     @staticmethod
     def _least(costs: np.ndarray, n: int) -> np.ndarray:
@@ -327,10 +334,11 @@ def encoded(docs: DataFrame, model: str, n_best: int = 4, doc_id: str = "doc_id"
         own = pieces(model)
         kinds = pa.list_(pa.int32()), pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
         for batch in slices(batches, text):
-            texts = batch.column(1).to_pylist()
-            own.learn(texts)
-            ids = [np.frombuffer(own.own(t), np.int32) for t in texts]
-            found = [[{"score": s, "ids": np.frombuffer(i, np.int32)} for s, i in own.encode(t, n_best)] for t in texts]
+            units = [own.units(t or "") for t in batch.column(1).to_pylist()]
+            own.learn(units)
+            made = [own.both(u, n_best) for u in units]
+            ids = [np.frombuffer(i, np.int32) for i, _ in made]
+            found = [[{"score": s, "ids": np.frombuffer(i, np.int32)} for s, i in best] for _, best in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, kinds[0]), pa.array(found, kinds[1])], ["doc_id", "ids", "segmentations"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -360,9 +368,10 @@ def described(docs: DataFrame, model: str, n_best: int = 4, doc_id: str = "doc_i
         own = pieces(model)
         for batch in slices(batches, text):
             out, texts = [], batch.column(1).to_pylist()
-            own.learn(texts)
-            for t in texts:
-                ids, found = own.own(t), own.encode(t, n_best)
+            units = [own.units(t or "") for t in texts]
+            own.learn(units)
+            for t, u in zip(texts, units, strict=True):
+                ids, found = own.both(u, n_best)
                 out.append((len(ids) // 4, zlib.crc32(ids), own.decode(ids) == (t or "").replace(SPACE, " "), [s for s, _ in found], [zlib.crc32(i) for _, i in found], found[0][1] == ids))
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", *names])

@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 import zlib
 from array import array
 
@@ -64,6 +65,15 @@ def test_long_runs_of_spaces():
     assert len(got[0][1]) // 4 < 20_000 / 16 + 20
 
 
+@pytest.mark.parametrize("text", ["x" * 150_000, "ab" * 60_000, "word " * 40_000, "é" * 50_000, "=" * 100_000, "日本" * 30_000])
+def test_long_ties_do_not_widen_the_search(text):
+    own = sentences.Pieces(MODEL)
+    began = time.process_time()
+    got = own.encode(text, 4)
+    assert time.process_time() - began < 60 and 2 <= len({i for _, i in got}) == len(got)
+    assert [s for s, _ in got] == sorted((s for s, _ in got), reverse=True) and all(own.decode(i) == text for _, i in got)
+
+
 @pytest.mark.parametrize("text", TEXTS)
 def test_round_trip_of_all_segmentations(text):
     own = sentences.Pieces(MODEL)
@@ -100,7 +110,7 @@ def test_own_encoding_is_the_library_s(spark):
     for t in [*TEXTS, *texts, "def f():\n    return  1\n", "  two  spaces ", "▁ x"]:
         assert array("I", own.own(t)).tolist() == model.encode(t)
     other = sentences.Pieces(MODEL)
-    other.learn(texts)
+    other.learn([other.units(t) for t in texts])
     assert other.learned and all(other.merged(u) == ids for u, ids in [*other.learned.items()][:2000])
     assert all(other.own(t) == own.own(t) for t in [*texts, *TEXTS])
     words = sorted({w for t in texts for w in t.split()})
